@@ -7,6 +7,7 @@ last version is an aggregate that combines before the shuffle, and ordered looku
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 
 from bazaarlens.functions import payload as P
 from bazaarlens.functions.vocabulary import ERASURE_EVENT, REDACTION_PRINCIPAL
+from bazaarlens.session import written
+
+Keep = Callable[[DataFrame, str], DataFrame]
 
 CONTENT = (
     "event_type",
@@ -37,19 +41,24 @@ class Resolved:
     redactions: DataFrame
 
 
-def resolve(arrivals: DataFrame, prior: DataFrame | None = None) -> Resolved:
+def resolve(
+    arrivals: DataFrame, prior: DataFrame | None = None, keep: Keep = written
+) -> Resolved:
     """Apply deliveries to the prior current rows (all rows they can touch, or none).
 
     Equal to upserting one delivery at a time in arrival order, with each erasure event
     blanking the pending personal rows of its user at its own place in that order.
+    ``keep`` stores the small intermediates that are read more than once.
     """
     versions = as_versions(arrivals)
     if prior is not None:
         versions = versions.unionByName(prior_as_versions(prior))
-    erasures = erasure_deliveries(arrivals)
-    hits = redaction_hits(versions, erasures)
-    current = _apply(latest_versions(versions), hits)
-    return Resolved(current, redaction_records(erasures, hits))
+    latest = latest_versions(versions)
+    erasures = keep(erasure_deliveries(arrivals), "erasures")
+    if erasures.isEmpty():
+        return Resolved(_apply(latest, None), redaction_records(erasures, None))
+    hits = keep(redaction_hits(versions, erasures, keep), "hits")
+    return Resolved(_apply(latest, hits), redaction_records(erasures, hits))
 
 
 def as_versions(arrivals: DataFrame) -> DataFrame:
@@ -113,7 +122,7 @@ def erasure_deliveries(arrivals: DataFrame) -> DataFrame:
     )
 
 
-def redaction_hits(versions: DataFrame, erasures: DataFrame) -> DataFrame:
+def redaction_hits(versions: DataFrame, erasures: DataFrame, keep: Keep) -> DataFrame:
     """Per event id the earliest erasure that found a personal, pending version of it current."""
     already = versions.where("pii_redacted_at is not null").select("event_id").distinct()
     personal = (
@@ -123,6 +132,7 @@ def redaction_hits(versions: DataFrame, erasures: DataFrame) -> DataFrame:
         .join(erasures.select("user_id").distinct(), "user_id", "left_semi")
         .join(already, "event_id", "left_anti")
     )
+    personal = keep(personal, "personal")
     erasing = erasures.select(
         "user_id",
         "arrival_seq",
@@ -134,12 +144,14 @@ def redaction_hits(versions: DataFrame, erasures: DataFrame) -> DataFrame:
         .where("following is not null")
         .withColumnRenamed("following", "erasure")
     )
+    swept = keep(swept, "swept")
     successors = versions.join(swept.select("event_id").distinct(), "event_id", "left_semi").select(
         "event_id", "arrival_seq", "arrival_chunk", F.struct("arrival_seq").alias("found")
     )
     still_current = F.col("following").isNull() | (
         F.col("erasure.arrival_seq") < F.col("following.arrival_seq")
     )
+    successors = keep(successors, "successors")
     return (
         first_following(swept, successors, "event_id", inclusive=False)
         .where(still_current)
@@ -193,7 +205,18 @@ def first_following(left: DataFrame, right: DataFrame, key: str, *, inclusive: b
     )
 
 
-def _apply(latest: DataFrame, hits: DataFrame) -> DataFrame:
+def _apply(latest: DataFrame, hits: DataFrame | None) -> DataFrame:
+    if hits is None:
+        return latest.select(
+            "event_id",
+            *[c for c in CONTENT if c != "payload"],
+            F.coalesce("kept.payload", "payload").alias("payload"),
+            F.col("kept.pii_redacted_at").alias("pii_redacted_at"),
+            "ingested_at",
+            "created_by",
+            F.col("written_at").alias("updated_at"),
+            F.col("written_by").alias("updated_by"),
+        )
     merged = latest.join(hits, "event_id", "left")
     swept_last = F.col("erasure").isNotNull() & (
         F.col("erasure.arrival_seq") >= F.col("arrival_seq")
@@ -217,13 +240,19 @@ def _apply(latest: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def redaction_records(erasures: DataFrame, hits: DataFrame) -> DataFrame:
+def redaction_records(erasures: DataFrame, hits: DataFrame | None) -> DataFrame:
     """One record per erasure delivery, with the number of rows it redacted (0 included)."""
+    if hits is None:
+        return _records(erasures.withColumn("rows_redacted", F.lit(0)))
     counted = hits.groupBy(
         F.col("erasure.erasure_id").alias("erasure_id"),
         F.col("erasure.arrival_seq").alias("arrival_seq"),
     ).agg(F.count("*").alias("rows_redacted"))
-    return erasures.join(counted, ["erasure_id", "arrival_seq"], "left").select(
+    return _records(erasures.join(counted, ["erasure_id", "arrival_seq"], "left"))
+
+
+def _records(counted: DataFrame) -> DataFrame:
+    return counted.select(
         P.hyphenate(F.md5(F.concat_ws(":", "erasure_id", "arrival_seq"))).alias("redaction_id"),
         "user_id",
         F.col("erasure_id").alias("triggering_event_id"),

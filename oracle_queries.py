@@ -589,17 +589,21 @@ FROM r WHERE rn = 1"""
 
 
 def stream_projection() -> str:
+    """Revenue of the final rows, for every bucket that a row of either wave was ever in."""
     return f"""{WIRE},
 good AS (SELECT *, ingested_at >= TIMESTAMP '1998-06-01' AS second_wave FROM parsed
          WHERE failure_reason IS NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id
-        ORDER BY second_wave DESC, topic DESC, part DESC, off DESC) AS rn FROM good),
+        ORDER BY second_wave DESC, topic DESC, part DESC, off DESC) AS rn,
+        row_number() OVER (PARTITION BY event_id, second_wave
+        ORDER BY topic DESC, part DESC, off DESC) AS rn_in_wave FROM good),
 g(granularity) AS (VALUES ('hour'), ('day'), ('week'), ('month')),
-b AS (SELECT granularity, date_trunc(granularity, occurred_at)::TIMESTAMP AS bucket_start, event_type,
-             CASE WHEN event_type = 'OrderCreated' THEN (text->>'total')::DECIMAL(18,2) END AS v
-      FROM r, g WHERE rn = 1 AND occurred_at < TIMESTAMP '2025-01-01')
+b AS (SELECT granularity, date_trunc(granularity, occurred_at)::TIMESTAMP AS bucket_start,
+             rn = 1 AND event_type = 'OrderCreated' AS counts,
+             CASE WHEN rn = 1 AND event_type = 'OrderCreated' THEN (text->>'total')::DECIMAL(18,2) END AS v
+      FROM r, g WHERE rn_in_wave = 1 AND occurred_at < TIMESTAMP '2025-01-01')
 SELECT {ID} AS id, granularity, bucket_start, coalesce(sum(v), 0)::DECIMAL(38,2) AS revenue_amount,
-       count(*) FILTER (event_type = 'OrderCreated') AS order_count, true AS is_provisional
+       count(*) FILTER (counts) AS order_count, true AS is_provisional
 FROM b GROUP BY granularity, bucket_start"""
 
 
