@@ -37,6 +37,7 @@ def local_session(
         .appName("bazaarlens")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", str(debugging).lower())
         .config("spark.sql.shuffle.partitions", str(partitions))
         .getOrCreate()
