@@ -307,21 +307,24 @@ def project(
     buckets: DataFrame | None,
     *,
     hourly: DataFrame | None = None,
+    facts: DataFrame | None = None,
     events: DataFrame | None = None,
     only_buckets: bool = True,
 ) -> DataFrame:
     """Read-model rows of one dashboard for exactly the given buckets.
 
-    Additive dashboards read ``hourly`` facts, the others ``events``. ``only_buckets=False``
-    says that the input holds no hours outside ``buckets``, which saves the semi-join.
+    Additive dashboards read ``facts`` (``rollup.spread`` of hourly facts over the buckets, made
+    here from ``hourly`` when not given), the others ``events``. ``only_buckets=False`` says that
+    ``hourly`` holds no hours outside ``buckets``, which saves the semi-join.
     """
     d = REGISTRY[name]
     if d.rollup is None:
         rows = d.from_events(events.where(F.col("event_type").isin(*d.event_types)), buckets)
     else:
-        mine = hourly.where(F.col("event_type").isin(*d.event_types))
-        facts = spread(mine, buckets if only_buckets else None)
-        rows = d.rollup(with_empty_buckets(facts, buckets))
+        mine = F.col("event_type").isin(*d.event_types)
+        if facts is None:
+            facts = spread(hourly.where(mine), buckets if only_buckets else None)
+        rows = d.rollup(with_empty_buckets(facts.where(mine), buckets))
     if not d.bucketed:
         return rows
     key = F.col(d.key) if d.key else None
