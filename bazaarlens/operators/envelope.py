@@ -43,31 +43,65 @@ def parse_messages(messages: DataFrame, as_of: Column) -> DataFrame:
         text.alias("payload"),
         *[_header(f).alias(f"h_{f}") for f in ENVELOPE_FIELDS],
         as_of.alias("as_of"),
-    ).withColumns(
-        {
-            "json_ok": F.coalesce(P.is_json(F.col("payload")), F.lit(False)),
-            "body": P.parse_fields(F.col("payload"), *ENVELOPE_FIELDS),
-        }
     )
-    staged = staged.withColumn("is_object", F.col("json_ok") & F.ltrim("payload").startswith("{"))
-    staged = P.computed_once(staged)
-
-    def consulted(field: str) -> Column:
-        return F.col(f"h_{field}").isNull()
-
-    def body(field: str) -> Column:
-        return F.when(F.col("is_object"), F.col(f"body.{field}"))
-
-    mistyped = F.lit(False)
+    json_ok = F.coalesce(P.is_json(F.col("payload")), F.lit(False))
+    consulted = {f: F.col(f"h_{f}").isNull() for f in ENVELOPE_FIELDS}
+    any_consulted = F.lit(False)
     for f in ENVELOPE_FIELDS:
-        wrong_kind = F.coalesce(~P.kind(body(f)).isin("STRING", "VOID"), F.lit(False))
-        not_object = F.col("json_ok") & ~F.col("is_object")
-        mistyped = mistyped | (consulted(f) & (wrong_kind | not_object))
-
+        any_consulted = any_consulted | consulted[f]
+    # The body is only opened for fields that no header gives.
+    body = F.when(
+        any_consulted & F.ltrim("payload").startswith("{"),
+        P.parse_fields(F.col("payload"), *ENVELOPE_FIELDS),
+    )
+    staged = P.computed_once(
+        staged.withColumns({"json_ok": json_ok, "body": body}).withColumn(
+            "is_object", F.col("json_ok") & F.ltrim("payload").startswith("{")
+        )
+    )
+    opened = {f: consulted[f] & F.col("is_object") for f in ENVELOPE_FIELDS}
+    staged = P.computed_once(
+        staged.select(
+            "topic",
+            "partition",
+            "offset",
+            "key",
+            "payload",
+            "as_of",
+            "json_ok",
+            "is_object",
+            *[f"h_{f}" for f in ENVELOPE_FIELDS],
+            *[
+                F.when(opened[f], P.kind(F.col(f"body.{f}"))).alias(f"k_{f}")
+                for f in ENVELOPE_FIELDS
+            ],
+            *[
+                F.when(opened[f], F.try_variant_get(F.col(f"body.{f}"), "$", "string")).alias(
+                    f"b_{f}"
+                )
+                for f in ENVELOPE_FIELDS
+            ],
+        )
+    )
+    mistyped = any_consulted & F.col("json_ok") & ~F.col("is_object")
+    for f in ENVELOPE_FIELDS:
+        mistyped = mistyped | F.coalesce(~F.col(f"k_{f}").isin("STRING", "VOID"), F.lit(False))
     staged = staged.select(
-        "*",
+        "topic",
+        "partition",
+        "offset",
+        "key",
+        "payload",
+        "as_of",
+        "json_ok",
+        "is_object",
         mistyped.alias("mistyped"),
-        *[F.coalesce(F.col(f"h_{f}"), P.as_string(body(f))).alias(f"r_{f}") for f in ENVELOPE_FIELDS],
+        *[
+            F.coalesce(f"h_{f}", F.when(F.col(f"k_{f}") == "STRING", F.col(f"b_{f}"))).alias(
+                f"r_{f}"
+            )
+            for f in ENVELOPE_FIELDS
+        ],
     )
     staged = P.computed_once(staged).withColumns(
         {
