@@ -132,7 +132,9 @@ def canonical_uuid(text: Column) -> Column:
     raw = F.lower(F.trim(text))
     dashed = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
     wellformed = raw.rlike(rf"^([0-9a-f]{{32}}|{dashed}|\{{{dashed}\}}|\({dashed}\))$")
-    return F.when(wellformed, hyphenate(F.translate(raw, "{}()-", "")))
+    size = F.length(raw)
+    bare = F.when(size == 32, hyphenate(raw)).when(size == 36, raw).otherwise(F.substring(raw, 2, 36))
+    return F.when(wellformed, bare)
 
 
 def hyphenate(hex32: Column) -> Column:
