@@ -6,6 +6,7 @@ runs the library over all of them.
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 from collections.abc import Callable
@@ -482,6 +483,20 @@ def replay_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- registry ------------------------------------------------------------------------------------
 
+# The training-data operators and their pipeline are optional: without them the rest works.
+OPTIONAL = ("bazaarlens.llm.queries", "corpus_pipeline")
+
+
+def optional_modules() -> list:
+    found = []
+    for name in OPTIONAL:
+        try:
+            found.append(importlib.import_module(name))
+        except ModuleNotFoundError as missing:
+            if missing.name not in (name, "bazaarlens.llm"):
+                raise
+    return found
+
 
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the daily revenue series at sf0.001."""
@@ -535,8 +550,9 @@ def queries() -> dict[str, Query]:
         "stream_ingest": stream_ingest,
         "stream_projection": stream_projection,
         "replay_equality": replay_equality,
-    }
+    } | {k: f for m in optional_modules() for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: build() for name, build in oracle_queries.ORACLES.items()}
+    own = {name: build() for name, build in oracle_queries.ORACLES.items()}
+    return own | {k: sql for m in optional_modules() for k, sql in m.ORACLES.items()}

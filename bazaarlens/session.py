@@ -47,11 +47,16 @@ def local_session(
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh path under the cluster's shared checkpoint folder.
+    """A fresh path under the cluster's shared checkpoint folder, spark.checkpoint.dir.
 
-    Only where the cluster names none (tests on one machine) is a temporary folder used.
+    Where it is unset, a session on one machine (tests, bench) uses a temporary folder; on a
+    cluster that is an error, for executors don't share local folders.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bazaarlens-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="bazaarlens-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
