@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import simhash
+from bazaarlens.llm import fingerprints, knn, language, simhash, url_filter
 from bazaarlens.llm.common import hex64
 
 
@@ -18,8 +18,82 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex64(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = language.fit(docs.where(remainder != 2))
+    found = language.identify(F.col("text"), model).alias("found")
+    held_out = F.coalesce(remainder == 2, F.lit(False)).alias("held_out")
+    return docs.select("doc_id", held_out, found).select(
+        "doc_id", "held_out", "found.lang_pred", "found.score", "found.rejected"
+    )
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edit(_table(spark, sf_dir, "documents"))
+
+
+def op5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", knn.scaled("embedding").alias("v"))
+    return knn.top_products(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_url_filter": op2_url_filter,
+    "op3_language": op3_language,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_knn": op5_knn,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES = {
+    "op2_url_filter": f"""
+        WITH rules(h, p, v) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+        rest AS (
+            SELECT page_id, CASE WHEN instr(url, '://') > 0
+                                 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r
+            FROM pages),
+        parts AS (
+            SELECT page_id, {_LOWER.format("regexp_extract(r, '^[^/?#]*')")} AS host,
+                   regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM rest),
+        ranked AS (
+            SELECT page_id, host, path, h || p AS rule, v,
+                   row_number() OVER (PARTITION BY page_id
+                                      ORDER BY length(h) + length(p) DESC, length(h) DESC) AS n
+            FROM parts LEFT JOIN rules
+              ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+        SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM ranked WHERE n = 1
+    """,
+    "op5_knn": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, d.vec_id,
+                   list_inner_product(q.v::DOUBLE[], d.v::DOUBLE[])::BIGINT AS score
+            FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+              FROM scored)
+        WHERE rank <= 20
+    """,
+}
