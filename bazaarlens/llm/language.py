@@ -127,18 +127,25 @@ def fit(
     per_language: int = 1000,
     clusters: int = 4,
     slack: float = 0.25,
+    most_languages: int = 1000,
 ) -> LanguageModel:
     """Learn from about ``per_language`` rows of each language.
 
     That bound is the only sampling: rows whose text hashes below bound / count of the language.
     Rows with a null language or without a letter teach nothing; no labelled row gives a model
-    that knows no language. A text's limit is ``slack`` times the cosine that 99 % of its
+    that knows no language; more than ``most_languages`` is an error, for the model grows with
+    them. A text's limit is ``slack`` times the cosine that 99 % of its
     cluster's labelled texts reach.
     """
     rows = labelled.select(column(text_column).alias("text"), column(lang_column).alias("lang")).where(
         "lang IS NOT NULL AND text IS NOT NULL"
     )
-    counts = rows.groupBy("lang").count()
+    counts = rows.groupBy("lang").count().limit(most_languages + 1).collect()
+    if not counts:
+        return LanguageModel([], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0), np.ones(DIMENSIONS, np.float32))
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    counts = F.broadcast(labelled.sparkSession.createDataFrame(counts, "lang string, n long"))
     share = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
 
     @F.pandas_udf("binary")
@@ -148,7 +155,7 @@ def fit(
 
     sample = written(
         rows.join(counts, "lang")
-        .where(share * F.col("count") < per_language)
+        .where(share * F.col("n") < per_language)
         .select("lang", counted("text").alias("grams"))
         .where("grams IS NOT NULL"),
         "languages",
