@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,30 @@ def byte_lengths(values: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+class Remembered(dict):
+    """A function's values for the keys seen lately, at most twice ``most`` of them.
+
+    Two generations: when the young one is full it becomes the old one, from which keys come back
+    when they are met again. Keys longer than ``longest`` are worked out anew each time.
+    """
+
+    def __init__(self, make: Callable, most: int, longest: int):
+        super().__init__()
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def hex64(value: Column) -> Column:
     """A long as 16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(value), 16, "0"))

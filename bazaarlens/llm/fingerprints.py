@@ -8,14 +8,16 @@ hash range, containment is estimated without bias between very unequal documents
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import column
+from bazaarlens.llm.common import column, slices
 
 #: Words of a shingle, and the fraction of hashes that a sketch retains.
 SHINGLE = 5
@@ -98,7 +100,7 @@ def with_next(
     carried: list[str],
     derived: dict[str, Column],
     id_column: str = "doc_id",
-    rows_per_range: int = 20_000,
+    rows_per_range: int = 4_000,
     most_ranges: int = 1 << 16,
 ) -> DataFrame:
     """``docs`` with the ``derived`` columns, and next_<c> for each carried or derived column c.
@@ -169,24 +171,40 @@ def compare_with_edit(docs: DataFrame) -> DataFrame:
     rows = with_next(texts, ["text"], {"sketch": fingerprint(F.col("text"))})
     n = F.length("text")
 
-    @F.pandas_udf("edited_sha256 string, edited binary, near_edited double, near_next double")
-    def edited(text: pd.Series, own: pd.Series, more: pd.Series, next_own: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, a, m, c in zip(text, own, more, next_own):
-            e = t[: len(t) - len(t) // 3] + m
-            b = encode(sketch(e), e)
-            sha = hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest()
-            out.append((sha, b, likeness(a, b), likeness(a, c)))
-        return pd.DataFrame(out, columns=["edited_sha256", "edited", "near_edited", "near_next"])
-
-    more = F.left("next_text", F.floor(n / 3).cast("int"))
-    made = edited("text", "sketch", more, "next_sketch").alias("made")
-    return rows.select("doc_id", n.cast("long").alias("n_chars"), "sketch", made).select(
+    names = ["doc_id", "n_chars", "edited_sha256", "sketch", "edited", "near_edited", "near_next"]
+
+    def edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            sha, own, edit, next_own = [], b.column("sketch").to_pylist(), [], b.column("next_sketch")
+            for t, m in zip(b.column("text").to_pylist(), b.column("more").to_pylist()):
+                e = t[: len(t) - len(t) // 3] + m
+                sha.append(hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest())
+                edit.append(encode(sketch(e), e))
+            near = [likeness(x, y) for x, y in zip(own, edit)]
+            after = [likeness(x, y) for x, y in zip(own, next_own.to_pylist())]
+            columns = [b.column("doc_id"), b.column("n_chars"), pa.array(sha, pa.string()), b.column("sketch")]
+            columns += [pa.array(edit, pa.binary()), pa.array(near, pa.float64()), pa.array(after, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    made = rows.select(
+        "doc_id",
+        "text",
+        n.cast("long").alias("n_chars"),
+        F.left("next_text", F.floor(n / 3).cast("int")).alias("more"),
+        "sketch",
+        "next_sketch",
+    ).mapInArrow(
+        edited,
+        f"doc_id {kind}, n_chars long, edited_sha256 string, sketch binary, edited binary,"
+        " near_edited double, near_next double",
+    )
+    return made.select(
         "doc_id",
         "n_chars",
-        "made.edited_sha256",
+        "edited_sha256",
         F.lower(F.hex("sketch")).alias("fingerprint"),
-        F.lower(F.hex("made.edited")).alias("edited_fingerprint"),
-        "made.near_edited",
-        "made.near_next",
+        F.lower(F.hex("edited")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
     )

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import fingerprints, knn, language, simhash, url_filter
+from bazaarlens.llm import (
+    fingerprints,
+    knn,
+    language,
+    packing,
+    sentence_pieces,
+    simhash,
+    token_counts,
+    url_filter,
+)
 from bazaarlens.llm.common import hex64
 
 
@@ -44,6 +54,31 @@ def op5_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_products(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    counted = token_counts.count_tokens(F.col("text"), path).alias("counted")
+    return _table(spark, sf_dir, "documents").select("doc_id", counted).select("doc_id", "counted.*")
+
+
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again; exact: whether that gave the text back."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    encoded = docs.withColumn("ids", sentence_pieces.encode(F.col("text"), path))
+    decoded = encoded.withColumn("decoded", sentence_pieces.decode(F.col("ids"), path))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        hex64(F.xxhash64("ids")).alias("ids_hash"),
+        (F.col("decoded") == F.translate("text", sentence_pieces.BLANK, " ")).alias("exact"),
+    )
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(_table(spark, sf_dir, "documents"), path, end_id=1, length=2048, with_ids=False)
+
+
 URL_RULES = [
     ("com", "/", "allow"),
     ("example.com", "/en/", "block"),
@@ -58,6 +93,9 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_fingerprints": op4_fingerprints,
     "op5_knn": op5_knn,
+    "op6_token_counts": op6_token_counts,
+    "op7_sentence_pieces": op7_sentence_pieces,
+    "op8_packing": op8_packing,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -83,10 +121,10 @@ ORACLES = {
     """,
     "op5_knn": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS v
+            SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
             FROM embeddings
             WHERE vec_id IS NOT NULL AND len(embedding) > 0
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
         scored AS (
             SELECT q.vec_id AS query_id, d.vec_id,
                    list_inner_product(q.v::DOUBLE[], d.v::DOUBLE[])::BIGINT AS score
