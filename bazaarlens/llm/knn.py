@@ -15,15 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.session import written
 
-#: The most pivots (fewer for small data: the root of the rows), and the rows of a block of data
-#: or queries that are solved together.
+#: The most pivots, the queries for which there is one (a data row may have to go to every group of
+#: queries), and the rows of a block of data or queries that are solved together.
 PIVOTS = 1024
+QUERIES_PER_PIVOT = 256
 BLOCK = 8192
 #: Distances are floats; comparisons of bounds leave this much room.
 ROOM = 1e-6
@@ -40,8 +42,9 @@ def scaled(embedding, factor: int = 64):
     return F.when(embedding.isNotNull() & F.coalesce(finite, F.lit(False)), whole)
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.stack(vectors.to_numpy()).astype(np.float64)
+def _matrix(vectors: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
+    values = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
 
 
 def _lift(x: np.ndarray, largest: float) -> np.ndarray:
@@ -54,7 +57,7 @@ def _distances(a: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def top_products(data: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS) -> DataFrame:
+def top_products(data: DataFrame, queries: DataFrame, k: int = 20, pivots: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` largest products, ties to smaller vec_id.
 
     ``data`` and ``queries`` are (vec_id long, v array<long>). Rows with a null id or vector, and
@@ -64,7 +67,7 @@ def top_products(data: DataFrame, queries: DataFrame, k: int = 20, pivots: int =
     frames give an empty result; with fewer candidates than ``k`` all are returned.
 
     On the driver: pivots, one summary row per group with its k smallest distances, and one
-    bound per query group, all bounded by ``pivots`` and ``k``.
+    bound per query group, all bounded by ``PIVOTS`` and ``k``. ``pivots`` is their number if given.
     """
     spark = data.sparkSession
     result = "query_id long, rank int, vec_id long, score long"
@@ -77,23 +80,24 @@ def top_products(data: DataFrame, queries: DataFrame, k: int = 20, pivots: int =
     d, n, largest = shape["d"], shape["n"], float(shape["largest"])
     data, queries = (x.where(F.size("v") == d) for x in (data, queries))
     queries = queries.distinct()
-    pivots = max(1, min(pivots, int(n**0.5) // 2))
+    pivots = pivots or max(8, min(PIVOTS, queries.count() // QUERIES_PER_PIVOT))
     # Distinct vectors in hash order: about `pivots` of them, whatever the order of rows.
     share = F.pmod(F.xxhash64("v"), F.lit(1 << 30)) / float(1 << 30)
     sample = data.where(share * n < 40 * pivots).select("v").distinct().orderBy(F.xxhash64("v")).limit(pivots)
     points = _lift(np.array([r.v for r in sample.collect()] or [data.first()["v"]], np.float64), largest)
 
-    def assigned(batches: Iterator[pd.DataFrame], query: bool) -> Iterator[pd.DataFrame]:
+    def assigned(batches: Iterator[pa.RecordBatch], query: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b["v"])
+            x = _matrix(b.column("v"), d)
             x = np.concatenate([x, np.zeros((len(x), 1))], axis=1) if query else _lift(x, largest)
             far = _distances(x, points)
             own = far.argmin(axis=1)
-            yield b.assign(cell=own.astype(np.int32), far=far[np.arange(len(x)), own])
+            columns = [pa.array(own.astype(np.int32)), pa.array(far[np.arange(len(x)), own])]
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, "cell", "far"])
 
     schema = "vec_id long, v array<long>, cell int, far double"
-    homes = written(data.mapInPandas(lambda bs: assigned(bs, False), schema), "knn-data")
-    asks = written(queries.mapInPandas(lambda bs: assigned(bs, True), schema), "knn-queries")
+    homes = written(data.mapInArrow(lambda bs: assigned(bs, False), schema), "knn-data")
+    asks = written(queries.mapInArrow(lambda bs: assigned(bs, True), schema), "knn-queries")
 
     # Summaries: the k + 1 smallest distances of each data group (one may be the query's own),
     # the radius and size of each query group.
@@ -121,23 +125,25 @@ def top_products(data: DataFrame, queries: DataFrame, k: int = 20, pivots: int =
             bound[i] = reach[k]
     reached = bound + radius + ROOM * (1 + np.sqrt(largest))
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def near(b: pa.RecordBatch) -> np.ndarray:
+        """Which query groups each row of a batch may have to meet."""
+        return _distances(_lift(_matrix(b.column("v"), d), largest), points[cells]) <= reached[None]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(cells), np.int64)
         for b in batches:
-            far = _distances(_lift(_matrix(b["v"]), largest), points[cells])
-            total += (far <= reached[None]).sum(axis=0)
-        yield pd.DataFrame({"cell": cells.astype(np.int32), "n": total})
+            total += near(b).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total)], ["cell", "n"])
 
-    def replicated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def replicated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            far = _distances(_lift(_matrix(b["v"]), largest), points[cells])
-            row, to = np.nonzero(far <= reached[None])
-            for start in range(0, len(row), 20_000):
-                r, t = row[start : start + 20_000], to[start : start + 20_000]
-                yield pd.DataFrame({"vec_id": b["vec_id"].to_numpy()[r], "v": b["v"].to_numpy()[r], "cell": cells[t].astype(np.int32)})
-
-    sent = homes.select("vec_id", "v").mapInPandas(replicated, "vec_id long, v array<long>, cell int")
-    load = homes.select("v").mapInPandas(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+            for cell, rows in zip(cells.tolist(), near(b).T):
+                sent = b.filter(pa.array(rows))
+                to = pa.array(np.full(sent.num_rows, cell, np.int32))
+                yield pa.RecordBatch.from_arrays([*sent.columns, to], [*b.schema.names, "cell"])
+
+    sent = homes.select("vec_id", "v").mapInArrow(replicated, "vec_id long, v array<long>, cell int")
+    load = homes.select("v").mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     load = {r.cell: r.n for r in load.collect()}
     blocks = spark.createDataFrame(  # one row per query group
         [(int(c), max(1, -(-load.get(c, 0) // BLOCK)), max(1, -(-query_side[c][1] // BLOCK))) for c in cells.tolist()],
@@ -156,30 +162,32 @@ def top_products(data: DataFrame, queries: DataFrame, k: int = 20, pivots: int =
         F.pmod(F.xxhash64("vec_id"), F.col("data_blocks")).cast("int").alias("db"),
     )
 
-    def solve(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    fields = pa.schema([(c, pa.int64()) for c in ("query_id", "version", "vec_id", "score")])
+
+    def solve(asked: pa.Table, rows: pa.Table) -> pa.Table:
         out = []
-        if len(asked) and len(rows):
-            rows = rows.sort_values("vec_id", kind="stable")
-            ids, x = rows["vec_id"].to_numpy(), _matrix(rows["v"])
-            names, q = asked["vec_id"].to_numpy(), _matrix(asked["v"])
+        if asked.num_rows and rows.num_rows:
+            rows = rows.sort_by("vec_id")
+            ids, x = rows.column("vec_id").to_numpy(), _matrix(rows.column("v"), d)
+            names, q = asked.column("vec_id").to_numpy(), _matrix(asked.column("v"), d)
             versions = np.array([xxhash.xxh3_64_intdigest(v.tobytes()) >> 1 for v in q])
+            m = min(k, len(ids))
             for start in range(0, len(q), 256):
                 products = q[start : start + 256] @ x.T
-                own = names[start : start + 256, None] == ids[None]
-                products[own] = -np.inf
-                m = min(k, len(ids))
+                products[names[start : start + 256, None] == ids[None]] = -np.inf
                 least = -np.partition(-products, m - 1, axis=1)[:, m - 1]
-                for i, (line, low) in enumerate(zip(products, least)):
+                for i, (line, low) in enumerate(zip(products, least), start):
                     at = np.flatnonzero((line >= low) & (line > -np.inf))
                     at = at[np.lexsort((ids[at], -line[at]))][:k]
-                    out.append(pd.DataFrame({"query_id": names[start + i], "version": versions[start + i], "vec_id": ids[at], "score": line[at].astype(np.int64)}))
-        empty = pd.DataFrame({c: [] for c in ("query_id", "version", "vec_id", "score")}, dtype="int64")
-        return pd.concat(out) if out else empty
+                    one = np.ones(len(at), np.int64)
+                    out.append((names[i] * one, versions[i] * one, ids[at], line[at].astype(np.int64)))
+        arrays = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+        return pa.Table.from_arrays([pa.array(a) for a in arrays], schema=fields)
 
     local = (
         left.groupBy("cell", "qb", "db")
         .cogroup(right.groupBy("cell", "qb", "db"))
-        .applyInPandas(solve, "query_id long, version long, vec_id long, score long")
+        .applyInArrow(solve, "query_id long, version long, vec_id long, score long")
     )
     rank = F.row_number().over(Window.partitionBy("query_id", "version").orderBy(F.desc("score"), "vec_id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
