@@ -65,15 +65,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again; exact: whether that gave the text back."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    encoded = docs.withColumn("ids", sentence_pieces.encode(F.col("text"), path))
-    decoded = encoded.withColumn("decoded", sentence_pieces.decode(F.col("ids"), path))
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_ids"),
-        hex64(F.xxhash64("ids")).alias("ids_hash"),
-        (F.col("decoded") == F.translate("text", sentence_pieces.BLANK, " ")).alias("exact"),
-    )
+    return sentence_pieces.round_trip(_table(spark, sf_dir, "documents"), path)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,15 +13,17 @@ worker remembers a bounded number of them.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import Remembered
+from bazaarlens.llm.common import Remembered, column, slices
 
 BLANK = "▁"
 #: Stretches that a worker remembers, and the longest of them.
@@ -85,7 +87,7 @@ class PieceModel:
                     to = at + 1 - base
                     score[to], start[to], last[to] = own + worst, at, -1
             front = at + 1
-            if front - base >= window:
+            if front - base >= window or front == n:
                 # The paths behind the ends that can still be extended meet on one boundary or not.
                 ends = {base + i for i in range(front - base, len(score)) if score[i] > none} if front < n else {n}
                 while len(ends) > 1:
@@ -157,3 +159,27 @@ def decode(ids: Column, model: str) -> Column:
         return pd.Series([None if a is None else own.decode(a.tolist()) for a in arrays], dtype=object)
 
     return of(ids)
+
+
+def round_trip(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, n_ids, ids_crc32, exact) of each text, encoded and decoded in slices of some megabytes.
+
+    ids_crc32 is of the ids as little-endian unsigned 32-bit numbers. exact says whether decoding
+    gives the text back, but for blank marks in it, which become blanks. A null text is empty.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = load(model)
+        for b in slices(batches, "text", 4 << 20):
+            rows = []
+            for text in b.column("text").to_pylist():
+                ids = own.encode(text)
+                exact = own.decode(ids) == (text or "").replace(BLANK, " ")
+                rows.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), exact))
+            n, crc, exact = (pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_())))
+            yield pa.RecordBatch.from_arrays([b.column("id"), n, crc, exact], ["id", "n_ids", "ids_crc32", "exact"])
+
+    texts = docs.select(column(id_column).alias("id"), column(text_column).alias("text"))
+    kind = texts.schema["id"].dataType.simpleString()
+    made = texts.mapInArrow(run, f"id {kind}, n_ids long, ids_crc32 long, exact boolean")
+    return made.withColumnRenamed("id", id_column)

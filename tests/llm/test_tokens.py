@@ -114,3 +114,8 @@ def test_round_trip(spark):
     made = docs.withColumn("e", S.encode(F.col("text"), path)).withColumn("d", S.decode(F.col("e"), path))
     for r in made.collect():
         assert r.d == (r.text or "").replace(S.BLANK, " ") and (bool(r.e) == bool(r.text))
+    pieces = S.load(path)
+    found = {r["ids"]: r for r in S.round_trip(docs, path, id_column="ids").collect()}
+    for i, t in enumerate([*TEXTS, None]):
+        assert found[i].exact and found[i].n_ids == len(pieces.encode(t))
+    assert S.round_trip(docs.limit(0), path, id_column="ids").count() == 0
