@@ -15,10 +15,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import column
+from bazaarlens.llm.common import column, slices
 from bazaarlens.session import written
 
 #: Dimensions of a vector; each centroid is that many floats.
@@ -203,3 +204,17 @@ def identify(text: Column, model: LanguageModel) -> Column:
         return pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": scores, "rejected": rejected})
 
     return of(text)
+
+
+def known_language(docs: DataFrame, model: LanguageModel, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that the model does not reject.
+
+    Rows are judged in slices of some megabytes of text, whatever the lengths of the texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_column):
+            _, _, rejected = model.classify(b.column(text_column).to_pylist())
+            yield b.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -18,13 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import column, fresh
+from bazaarlens.llm.common import column, fresh, slices
 from bazaarlens.llm.components import connected_components
 from bazaarlens.session import written
 
@@ -58,15 +57,21 @@ def simhash64(text: str | None, shingle: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprint(text: Column, shingle: int = 3) -> Column:
-    """The fingerprint of a text as a long. A null or empty text has fingerprint 0."""
+def fingerprints(docs: DataFrame, id_column: str, text_column: str, shingle: int = 3) -> DataFrame:
+    """(id, version, fp) of every row: the text's hash and its fingerprint as longs.
 
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        values = np.fromiter((simhash64(t, shingle) for t in texts), np.uint64, len(texts))
-        return pd.Series(values.view(np.int64))
+    A null or empty text has fingerprint 0. Texts are read in slices of some megabytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            values = np.array([simhash64(t, shingle) for t in b.column("text").to_pylist()], np.uint64)
+            columns = [b.column("id"), b.column("version"), pa.array(values.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "version", "fp"])
 
-    return of(text)
+    text = column(text_column)
+    rows = docs.select(column(id_column).alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, version long, fp long")
 
 
 # --- anchors --------------------------------------------------------------------------------
@@ -273,14 +278,7 @@ def links(fingerprints: DataFrame, distance: int = 3) -> DataFrame:
 
 def _grouped(docs: DataFrame, id_column: str, text_column: str, shingle: int, distance: int):
     """The stored (id, version, fp) of every row, and (fp, component, first) of every fingerprint."""
-    rows = written(
-        docs.select(
-            column(id_column).alias("id"),
-            F.xxhash64(column(text_column)).alias("version"),
-            fingerprint(column(text_column), shingle).alias("fp"),
-        ),
-        "simhash",
-    )
+    rows = written(fingerprints(docs, id_column, text_column, shingle), "simhash")
     each = written(
         rows.groupBy("fp").agg(
             F.min("id").alias("id"),

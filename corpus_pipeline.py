@@ -10,16 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.llm import language, packing, passages, simhash
-from bazaarlens.llm.common import fresh
 from bazaarlens.session import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language; those that the classifier rejects go, as do textless ones."""
-    model = language.fit(docs)
-    found = fresh(docs, "found")
-    judged = docs.withColumn(found, language.identify(F.col("text"), model))
-    return judged.where(~F.col(found)["rejected"]).select(*docs.columns)
+    return language.known_language(docs, language.fit(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
