@@ -149,16 +149,19 @@ def fit(
     counts = F.broadcast(labelled.sparkSession.createDataFrame(counts, "lang string, n long"))
     share = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
 
-    @F.pandas_udf("binary")
-    def counted(texts: pd.Series) -> pd.Series:
-        grams = (gram_counts(t) for t in texts)
-        return pd.Series([g.clip(max=65535).astype("<u2").tobytes() if g.any() else None for g in grams])
-
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(i, 256) for b in slices(batches, "text") for i in range(0, b.num_rows, 256)):
+            grams = [gram_counts(t) for t in b.column("text").to_pylist()]
+            made = [g.clip(max=65535).astype("<u2").tobytes() if g.any() else None for g in grams]
+            made = pa.RecordBatch.from_arrays([b.column("lang"), pa.array(made, pa.binary())], ["lang", "grams"])
+            yield made.filter(made.column("grams").is_valid())
+
+    # One Python step per task: a filter on a UDF's result would work it out twice, in two workers.
     sample = written(
         rows.join(counts, "lang")
         .where(share * F.col("n") < per_language)
-        .select("lang", counted("text").alias("grams"))
-        .where("grams IS NOT NULL"),
+        .select("lang", "text")
+        .mapInArrow(counted, "lang string, grams binary"),
         "languages",
     )
 
