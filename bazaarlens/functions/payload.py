@@ -145,4 +145,6 @@ def hyphenate(hex32: Column) -> Column:
 def iso_timestamp(text: Column) -> Column:
     """ISO-8601 date or date-time, zone optional (UTC when absent); null when it is not one."""
     shaped = F.trim(text).rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}.*)?$")
-    return F.when(shaped, F.trim(text).try_cast("timestamp"))
+    # Spark's cast wants seconds where a zone follows.
+    full = F.regexp_replace(F.trim(text), r"^(.{10}[T ]\d{2}:\d{2})(?=Z|[+-])", "$1:00")
+    return F.when(shaped, full.try_cast("timestamp"))

@@ -174,6 +174,8 @@ def test_uuid_forms(spark, text, expected):
         ("2026-08-18T14:37:52.125+02:00", "2026-08-18 12:37:52.125"),
         ("2026-08-18", "2026-08-18 00:00:00"),
         ("2026-08-18 14:37", "2026-08-18 14:37:00"),
+        ("2026-08-18T10:00Z", "2026-08-18 10:00:00"),
+        ("2026-08-18T10:00-03:30", "2026-08-18 13:30:00"),
         ("T12:00", None),
         ("yesterday", None),
         ("2026-13-01T00:00:00Z", None),
