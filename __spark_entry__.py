@@ -31,7 +31,7 @@ from bazaarlens.operators.versions import (
     with_extracted_fields,
 )
 from bazaarlens.plans import serving
-from bazaarlens.plans.dashboards import REGISTRY, project, stamp
+from bazaarlens.plans.dashboards import REGISTRY, project, rollup_dimensions, stamp
 from bazaarlens.plans.projection import buckets_of_date, final_unless_open, hourly_until
 from bazaarlens.plans.rollup import hourly_rollup
 from bazaarlens.session import configure, shared_folder, written
@@ -123,7 +123,7 @@ def read_model(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if not d.bucketed:
         return project(name, None, events=events)
     buckets = buckets_of_hours(hours_between(bounds(spark, sf_dir, name)))
-    hourly = hourly_rollup(events) if d.rollup else None
+    hourly = hourly_rollup(events, rollup_dimensions()) if d.rollup else None
     return project(name, buckets, hourly=hourly, events=events, only_buckets=False)
 
 
@@ -269,7 +269,8 @@ def event_scan_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     event_id = str(UUID(md5(b"OrderCreated:7").hexdigest()))
-    current = resolve(scans.event_by_id(delivery_log(spark, sf_dir), event_id)).current
+    found = written(scans.event_by_id(deliveries(spark, sf_dir), event_id), "event-lookup")
+    current = resolve(found).current
     return comparable(
         current.select("event_id", "event_type", "partition_key", "occurred_at", "payload")
     )
@@ -386,7 +387,7 @@ def reconcile_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nightly recompute of the last order date's buckets."""
     configure(spark)
     day = last_order_date(spark, sf_dir)
-    hourly = hourly_rollup(events_of(spark, sf_dir, "revenue"))
+    hourly = hourly_rollup(events_of(spark, sf_dir, "revenue"), rollup_dimensions())
     rows = project("revenue", buckets_of_date(spark, day), hourly=hourly)
     rows = stamp(rows, instant(AS_OF), final_unless_open(day), F.lit(day))
     return comparable(
@@ -408,7 +409,7 @@ def incremental_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     buckets = buckets_of_hours(hours_between(window))
     events = events_of(spark, sf_dir, "revenue")
-    hourly = hourly_until(events, hourly_rollup(events), as_of)
+    hourly = hourly_until(events, hourly_rollup(events, rollup_dimensions()), as_of)
     rows = project("revenue", buckets, hourly=hourly)
     return comparable(
         rows.select("id", "granularity", "bucket_start", "revenue_amount", "order_count")

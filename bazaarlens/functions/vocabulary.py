@@ -69,7 +69,6 @@ UNKNOWN_EVENT_TYPE = "Unknown"
 ERASURE_EVENT = "UserDataErased"
 EMPTY_UUID = "00000000-0000-0000-0000-000000000000"
 RETRY_BUDGET = 3
-DLQ_BATCH = 50
 
 # The principal each job stamps on the rows it writes.
 INGESTION_PRINCIPAL = "system:analytics-ingestion-consumer"

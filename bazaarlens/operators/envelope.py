@@ -40,6 +40,7 @@ def parse_messages(messages: DataFrame, as_of: Column) -> DataFrame:
         "partition",
         "offset",
         "key",
+        F.coalesce("timestamp", as_of).alias("broker_at"),
         text.alias("payload"),
         *[_header(f).alias(f"h_{f}") for f in ENVELOPE_FIELDS],
         as_of.alias("as_of"),
@@ -66,6 +67,7 @@ def parse_messages(messages: DataFrame, as_of: Column) -> DataFrame:
             "partition",
             "offset",
             "key",
+            "broker_at",
             "payload",
             "as_of",
             "json_ok",
@@ -91,6 +93,7 @@ def parse_messages(messages: DataFrame, as_of: Column) -> DataFrame:
         "partition",
         "offset",
         "key",
+        "broker_at",
         "payload",
         "as_of",
         "json_ok",
@@ -132,6 +135,7 @@ def parse_messages(messages: DataFrame, as_of: Column) -> DataFrame:
         "topic",
         "partition",
         "offset",
+        "broker_at",
         F.when(envelope_ok, F.col("event_id")).otherwise(message_id()).alias("event_id"),
         F.when(envelope_ok, F.col("r_eventType"))
         .otherwise(F.lit(UNKNOWN_EVENT_TYPE))
@@ -166,19 +170,31 @@ def describe_payload(versions: DataFrame, principal: str) -> DataFrame:
     )
 
 
+def sortable_micros(at: Column) -> Column:
+    """Microseconds since 1970 as text that sorts like the time."""
+    return F.lpad(F.unix_micros(at).cast("string"), 17, "0")
+
+
 def arrival_order(df: DataFrame) -> DataFrame:
-    """``arrival_seq``: processing time of the batch, then broker position."""
-    micros = F.unix_micros("ingested_at")
+    """``arrival_seq``: processing time of the batch, then the broker's time, then its position.
+
+    ``arrival_chunk`` is the batch and the hour of the broker's time, so that a replay of years as
+    one batch has many chunks. A message without a broker time counts as of its batch's time.
+    """
+    batch = sortable_micros(F.col("ingested_at"))
     return df.withColumns(
         {
             "arrival_seq": F.concat_ws(
                 ".",
-                F.lpad(micros.cast("string"), 17, "0"),
+                batch,
+                sortable_micros(F.col("broker_at")),
                 F.col("topic"),
                 F.lpad(F.col("partition").cast("string"), 6, "0"),
                 F.lpad(F.col("offset").cast("string"), 19, "0"),
             ),
-            "arrival_chunk": micros,
+            "arrival_chunk": F.concat_ws(
+                ".", batch, sortable_micros(F.date_trunc("hour", "broker_at"))
+            ),
         }
     )
 
@@ -187,7 +203,7 @@ def accepted(parsed: DataFrame) -> DataFrame:
     """Accepted messages as event versions."""
     good = arrival_order(parsed.where("failure_reason is null"))
     return describe_payload(good, INGESTION_PRINCIPAL).drop(
-        "topic", "partition", "offset", "failure_reason"
+        "topic", "partition", "offset", "broker_at", "failure_reason"
     )
 
 

@@ -33,6 +33,9 @@ class Dashboard:
     from_events: Callable[[DataFrame, DataFrame], DataFrame] | None = None
     key: str | None = None
     bucketed: bool = True
+    #: The events' column by which hourly facts of ``broken_down`` types (all if none) are split.
+    dimension: str | None = None
+    broken_down: tuple[str, ...] = ()
 
 
 REGISTRY: dict[str, Dashboard] = {}
@@ -44,6 +47,21 @@ def register(dashboard: Dashboard) -> Dashboard:
     return dashboard
 
 
+def rollup_dimensions() -> dict[str, str | None]:
+    """The event types that rolled-up dashboards count, each with the column it is split by."""
+    found: dict[str, str | None] = {}
+    for d in REGISTRY.values():
+        if not d.rollup:
+            continue
+        for event_type in d.event_types:
+            split = d.dimension if event_type in (d.broken_down or d.event_types) else None
+            known = found.get(event_type)
+            if split and known and split != known:
+                raise ValueError(f"{event_type} is split by both {known} and {split}")
+            found[event_type] = split or known
+    return found
+
+
 def total(*event_types: str) -> Column:
     """Events of the given types in the bucket."""
     return F.coalesce(
@@ -274,7 +292,7 @@ register(
         from_events=_fulfillment,
     )
 )
-register(Dashboard("inventory_movement", INVENTORY_TYPES, _inventory, key="sku"))
+register(Dashboard("inventory_movement", INVENTORY_TYPES, _inventory, key="sku", dimension="sku"))
 register(
     Dashboard(
         "catalog_pricing", ("ProductCreated", "ProductPriceChanged", "CategoryUpdated"), _catalog
@@ -288,7 +306,7 @@ register(
         _users,
     )
 )
-register(Dashboard("reviews_ratings", ("ReviewSubmitted",), _reviews))
+register(Dashboard("reviews_ratings", ("ReviewSubmitted",), _reviews, dimension="rating"))
 register(
     Dashboard("admin_audit", ("AdminActionPerformed",), from_events=_audit, bucketed=False)
 )
@@ -298,6 +316,8 @@ register(
         ("NotificationSent", "WishlistPriceAlertTriggered"),
         _notifications,
         key="channel",
+        dimension="channel",
+        broken_down=("NotificationSent",),
     )
 )
 

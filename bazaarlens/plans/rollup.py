@@ -13,53 +13,35 @@ from pyspark.sql import functions as F
 from bazaarlens.functions.buckets import bucket_start, in_every_bucket
 from bazaarlens.functions.payload import MONEY
 
+# The stock movements.
 INVENTORY_TYPES = (
     "InventoryReserved",
     "InventoryReservationFailed",
     "InventoryReleased",
     "InventoryReplenished",
 )
-AMOUNT_TYPES = ("OrderCreated", "PriceQuoteIssued")
-ROLLUP_TYPES = (
-    "CartCheckedOut",
-    "OrderCreated",
-    "OrderConfirmed",
-    "PaymentCompleted",
-    "OrderDelivered",
-    *INVENTORY_TYPES,
-    "ProductCreated",
-    "ProductPriceChanged",
-    "CategoryUpdated",
-    "CouponRedeemed",
-    "PriceQuoteIssued",
-    "UserRegistered",
-    "SessionCreated",
-    "UserProfileUpdated",
-    "UserAccountUpdated",
-    "ReviewSubmitted",
-    "NotificationSent",
-    "WishlistPriceAlertTriggered",
-)
 ROLLUP_INPUT = ("event_type", "occurred_at", "sku", "channel", "rating", "total")
 
 
-def hourly_rollup(events: DataFrame) -> DataFrame:
-    """(hour_start, event_type, dimension) -> events, amount. The dimension is the one breakdown
-    a type has: SKU for stock movements, channel for notifications, stars for reviews."""
+def hourly_rollup(events: DataFrame, dimensions: dict[str, str | None]) -> DataFrame:
+    """(hour_start, event_type, dimension) -> events, amount.
+
+    ``dimensions`` names the types to count (those of the registered dashboards) and for each the
+    one column it is broken down by, if any. The amount is the sum of the events' totals, null
+    where none has one.
+    """
     kind = F.col("event_type")
-    dimension = (
-        F.when(kind.isin(*INVENTORY_TYPES), F.col("sku"))
-        .when(kind == "NotificationSent", F.col("channel"))
-        .when(kind == "ReviewSubmitted", F.col("rating").cast("string"))
-    )
-    amount = F.when(kind.isin(*AMOUNT_TYPES), F.col("total")).cast(MONEY)
+    dimension = F.lit(None).cast("string")
+    for name in sorted({c for c in dimensions.values() if c}):
+        types = [t for t, c in dimensions.items() if c == name]
+        dimension = F.when(kind.isin(*types), F.col(name).cast("string")).otherwise(dimension)
     return (
-        events.where(kind.isin(*ROLLUP_TYPES))
+        events.where(kind.isin(*dimensions))
         .select(
             bucket_start("hour", F.col("occurred_at")).alias("hour_start"),
             "event_type",
             dimension.alias("dimension"),
-            amount.alias("amount"),
+            F.col("total").cast(MONEY).alias("amount"),
         )
         .groupBy("hour_start", "event_type", "dimension")
         .agg(F.count("*").alias("events"), F.sum("amount").alias("amount"))

@@ -332,6 +332,7 @@ def wire_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
                          when num % 127 = 0 then concat(text, ' tail')
                          else text end as binary) as value""",
             "headers",
+            "ingested_at as timestamp",
             "ingested_at",
         )
     )

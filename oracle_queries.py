@@ -576,12 +576,12 @@ FROM ok"""
 
 
 def stream_ingest() -> str:
-    """Wave by wave the last delivery of each event id wins, by broker position inside a wave."""
+    """Wave by wave the last delivery of each event id wins, by broker time and position inside a wave."""
     return f"""{WIRE},
 good AS (SELECT *, ingested_at >= TIMESTAMP '1998-06-01' AS second_wave FROM parsed
          WHERE failure_reason IS NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id
-        ORDER BY second_wave DESC, topic DESC, part DESC, off DESC) AS rn FROM good)
+        ORDER BY second_wave DESC, ingested_at DESC, topic DESC, part DESC, off DESC) AS rn FROM good)
 SELECT event_id, event_type, publisher_service, coalesce(key, event_id) AS partition_key,
        CASE WHEN occurred_at = TIMESTAMP '2025-01-01' THEN NULL ELSE occurred_at END AS occurred_at,
        {shape("text")} AS schema_id
@@ -594,9 +594,9 @@ def stream_projection() -> str:
 good AS (SELECT *, ingested_at >= TIMESTAMP '1998-06-01' AS second_wave FROM parsed
          WHERE failure_reason IS NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id
-        ORDER BY second_wave DESC, topic DESC, part DESC, off DESC) AS rn,
+        ORDER BY second_wave DESC, ingested_at DESC, topic DESC, part DESC, off DESC) AS rn,
         row_number() OVER (PARTITION BY event_id, second_wave
-        ORDER BY topic DESC, part DESC, off DESC) AS rn_in_wave FROM good),
+        ORDER BY ingested_at DESC, topic DESC, part DESC, off DESC) AS rn_in_wave FROM good),
 g(granularity) AS (VALUES ('hour'), ('day'), ('week'), ('month')),
 b AS (SELECT granularity, date_trunc(granularity, occurred_at)::TIMESTAMP AS bucket_start,
              rn = 1 AND event_type = 'OrderCreated' AS counts,
