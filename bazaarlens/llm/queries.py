@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.llm import (
     chat,
+    extraction,
     fingerprints,
     knn,
     language,
@@ -108,6 +109,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return vector_codes.compress(rows, "vec_id", "embedding", "label", parts=16, size=64, rounds=2)
@@ -135,6 +141,7 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_passages": op10_passages,
     "op11_merkle": op11_merkle,
+    "op12_extraction": op12_extraction,
     "op13_vector_codes": op13_vector_codes,
 }
 
