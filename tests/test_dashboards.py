@@ -10,11 +10,19 @@ from bazaarlens.functions.buckets import buckets_of_hours, hours_between, instan
 from bazaarlens.operators.percentiles import nearest_rank
 from bazaarlens.operators.versions import with_extracted_fields
 from bazaarlens.plans import serving
-from bazaarlens.plans.dashboards import REGISTRY, Dashboard, project, register, stamp, total
+from bazaarlens.plans.dashboards import (
+    REGISTRY,
+    Dashboard,
+    project,
+    register,
+    rollup_dimensions,
+    stamp,
+    total,
+)
 from bazaarlens.plans.rollup import hourly_rollup
 
-T = datetime(2026, 8, 18, 10)
-FROM, TO = datetime(2026, 8, 17), datetime(2026, 8, 20)
+T = datetime(2025, 11, 18, 10)
+FROM, TO = datetime(2025, 11, 17), datetime(2025, 11, 20)
 
 
 def events(spark, rows):
@@ -33,7 +41,7 @@ def buckets(spark, start=FROM, end=TO):
 
 def model(spark, name, rows, provisional=True, through=None):
     ev = events(spark, rows)
-    out = project(name, buckets(spark), hourly=hourly_rollup(ev), events=ev)
+    out = project(name, buckets(spark), hourly=hourly_rollup(ev, rollup_dimensions()), events=ev)
     return stamp(out, instant(T), F.lit(provisional), F.lit(through))
 
 
@@ -79,7 +87,7 @@ def test_fulfillment_uses_the_earliest_end_in_the_bucket_and_keeps_negative_dura
         ("ShipmentDispatched", T + 24 * h, '{"orderId":"late"}'),
     ]
     day = {r.bucket_start: r for r in model(spark, "fulfillment_performance", rows).where("granularity = 'day'").collect()}
-    r = day[datetime(2026, 8, 18)]
+    r = day[datetime(2025, 11, 18)]
     assert (r.time_to_ship_p50_hours, r.time_to_ship_p99_hours) == (2.0, 3.0)
     assert (r.time_to_deliver_p50_hours, r.time_to_deliver_p95_hours) == (-3.0, -1.0)
     week = model(spark, "fulfillment_performance", rows).where("granularity = 'week'").first()
@@ -99,7 +107,7 @@ def test_inventory_totals_and_skus(spark):
     assert tuple(served(spark, "inventory_movement", rows)[0]) == (2, 1, 1, 1)
     assert tuple(served(spark, "inventory_movement", rows, sku="a")[0]) == (1, 0, 1, 0)
     keyed = model(spark, "inventory_movement", rows).where("granularity = 'day' and sku is not null")
-    assert sorted(r.id for r in keyed.collect()) == ["day:2026-08-18T00:a", "day:2026-08-18T00:b"]
+    assert sorted(r.id for r in keyed.collect()) == ["day:2025-11-18T00:a", "day:2025-11-18T00:b"]
 
 
 def test_catalog_promotions_users(spark):
@@ -148,11 +156,11 @@ def test_empty_range_is_provisional(spark):
 
 def test_envelope_takes_the_weakest_document(spark):
     rows = spark.createDataFrame(
-        [(1, False, date(2026, 8, 2)), (1, False, date(2026, 8, 1)), (2, True, date(2026, 8, 1)), (3, False, None)],
+        [(1, False, date(2025, 11, 2)), (1, False, date(2025, 11, 1)), (2, True, date(2025, 11, 1)), (3, False, None)],
         "k int, is_provisional boolean, reconciled_through date",
     )
     got = {r.k: (r.is_provisional, r.reconciled_through) for r in serving.envelope(rows, instant(T), "k").collect()}
-    assert got == {1: (False, date(2026, 8, 1)), 2: (True, date(2026, 8, 1)), 3: (False, None)}
+    assert got == {1: (False, date(2025, 11, 1)), 2: (True, date(2025, 11, 1)), 3: (False, None)}
 
 
 @pytest.mark.parametrize("name", sorted(REGISTRY))

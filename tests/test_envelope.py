@@ -19,7 +19,7 @@ def test_header_and_body_styles_give_the_same_envelope(spark):
         "eventType": "OrderCreated",
         "eventId": uid(1),
         "publisherService": "order-service",
-        "occurredAt": "2026-08-18T10:00:00Z",
+        "occurredAt": "2025-11-18T10:00:00Z",
         "total": 1,
     }
     rows = accepted(
