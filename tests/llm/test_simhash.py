@@ -68,7 +68,7 @@ def test_dense_group_gives_a_forest(spark, monkeypatch):
     draw = random.Random(5)
     values = {0}
     while len(values) < 700:  # all in one half: one crowded anchor
-        values.add(sum(1 << b for b in draw.sample(range(33, 49), 3)))
+        values.add(sum(1 << b for b in draw.sample(range(33, 51), 3)))
     rows = [(v,) for v in values]
     edges = S.links(spark.createDataFrame(rows, "fp long"), 3).collect()
     assert len(edges) < 40 * len(values) < len(values) ** 2 / 2
