@@ -8,6 +8,7 @@ into full sequences. What is left at the end of a range is cut at powers of two.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ LENGTH = 2048
 #: Buckets of a hashed vector, dimensions of the curve, bits of each.
 BUCKETS, DIMENSIONS, BITS = 256, 4, 15
 #: Pretokens that a worker remembers the ids of, and the longest of them.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 _LONG = 48
 
 
@@ -91,7 +92,8 @@ class Ids:
     The tokenizer splits a text into pretokens and encodes each by itself. For texts of the
     common Latin characters the same split is made with Python's ``re``, and only pretokens that
     the worker doesn't remember go to the tokenizer's model. Any other text, and one that has an
-    added token, goes to the tokenizer whole.
+    added token, goes to the tokenizer whole, as do all texts if the file splits them by another
+    pattern.
     """
 
     def __init__(self, path: str):
@@ -113,6 +115,11 @@ class Ids:
         hidden = (b for b in range(256) if b not in visible)
         self.spelling = {b: 256 + i for i, b in enumerate(hidden)}
         self.known = Remembered(self._pretoken, REMEMBERED, _LONG)
+        made = json.loads(self.tokenizer.to_str())
+        standard = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        before = made["pre_tokenizer"] or {}
+        # Whether the file splits by the pattern above and changes nothing before or after it.
+        self.own_split = not made["normalizer"] and made["model"]["type"] == "BPE" and standard.items() <= before.items()
 
     def _pretoken(self, text: str) -> bytes:
         spelled = text.encode().decode("latin-1").translate(self.spelling)
@@ -122,9 +129,12 @@ class Ids:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.known.__getitem__
-        made = (self._whole(t) if self.other(t) else b"".join(map(known, self.split(t))) for t in texts)
-        return [np.frombuffer(ids, self.kind) for ids in made]
+        return [np.frombuffer(self._ids(t), self.kind) for t in texts]
+
+    def _ids(self, text: str) -> bytes:
+        if not self.own_split or self.other(text):
+            return self._whole(text)
+        return b"".join(map(self.known.__getitem__, self.split(text)))
 
 
 @lru_cache(2)
