@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,7 @@ class PieceModel:
         self.texts: dict[int, bytes] = {i: p.encode() for p, i, _ in pieces}
         if byte_ids:
             self.texts |= {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        self.table = [self.texts.get(i, b"") for i in range(max(self.texts, default=-1) + 1)]
         self.longest = max((len(p) for p, _, _ in pieces), default=1)
         self.worst = min((s for _, _, s in pieces), default=0.0) - UNKNOWN_COST
         # A trie of nodes (children by character, id or None, score).
@@ -117,12 +119,17 @@ class PieceModel:
         if not text:
             return []
         text = (BLANK if self.add_prefix else "") + text.replace(" ", BLANK)
-        known = self.known
-        return [i for stretch in self.stretches.findall(text) for i in known[stretch]]
+        return list(chain.from_iterable(map(self.known.__getitem__, self.stretches.findall(text))))
 
     def decode(self, ids) -> str:
         """The text of ids. Other ids (controls, unknown) have no text; broken bytes become U+FFFD."""
-        text = b"".join(self.texts.get(i, b"") for i in ids).decode("utf-8", "replace").replace(BLANK, " ")
+        try:
+            raw = b"".join(map(self.table.__getitem__, ids))  # a negative id would count from the end
+        except IndexError:
+            raw = None
+        if raw is None or (len(ids) and min(ids) < 0):
+            raw = b"".join(self.texts.get(i, b"") for i in ids)
+        text = raw.decode("utf-8", "replace").replace(BLANK, " ")
         return text[1:] if self.add_prefix and text.startswith(" ") else text
 
 
