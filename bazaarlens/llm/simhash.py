@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.llm.common import column, fresh, slices
@@ -329,9 +329,16 @@ def keep_one_of_each(
     Rows that repeat both id and text of the first one count as copies: one of them stays.
     """
     _, groups = _grouped(docs, id_column, text_column, shingle, distance)
-    first = written(groups.select("first.id", "first.version").distinct(), "kept")
-    version = fresh(docs, "version")
-    own = docs.withColumn(version, F.xxhash64(column(text_column)))
-    same = own[version] == first["version"]
-    kept = own.join(first, same & own[id_column].eqNullSafe(first["id"]), "left_semi")
-    return kept.dropDuplicates([version, id_column]).drop(version)
+
+    def keys(id: Column, version: Column) -> list[Column]:
+        return [version, id.isNull(), F.coalesce(id.cast("string"), F.lit(""))]
+
+    names = []
+    for name in ("version", "none", "id"):
+        names.append(fresh(docs, name))
+        docs = docs.withColumn(names[-1], F.lit(None))
+    # The rows are dealt out once, by plain columns, for the join and for the copies.
+    first = groups.select("first.id", "first.version").distinct()
+    first = written(first.select(*[k.alias(n) for k, n in zip(keys(F.col("id"), F.col("version")), names)]), "kept")
+    own = docs.withColumns(dict(zip(names, keys(column(id_column), F.xxhash64(column(text_column))))))
+    return own.join(first, names, "left_semi").dropDuplicates(names).drop(*names)
