@@ -130,9 +130,11 @@ def fit(
     slack: float = 0.25,
     most_languages: int = 1000,
 ) -> LanguageModel:
-    """Learn from about ``per_language`` rows of each language.
+    """Learn from about ``per_language`` different texts of each language.
 
-    That bound is the only sampling: rows whose text hashes below bound / count of the language.
+    That bound is the only sampling: texts that hash below bound / number of different texts of the
+    language, each once, so that copies neither hide a language nor swell its sample. A language
+    of no more texts than the bound is learned from all of them.
     Rows with a null language or without a letter teach nothing; no labelled row gives a model
     that knows no language; more than ``most_languages`` is an error, for the model grows with
     them. A text's limit is ``slack`` times the cosine that 99 % of its
@@ -141,27 +143,36 @@ def fit(
     rows = labelled.select(column(text_column).alias("text"), column(lang_column).alias("lang")).where(
         "lang IS NOT NULL AND text IS NOT NULL"
     )
-    counts = rows.groupBy("lang").count().limit(most_languages + 1).collect()
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("hash"))
+    counts = rows.select("lang", "hash").distinct().groupBy("lang").count().limit(most_languages + 1).collect()
     if not counts:
         return LanguageModel([], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0), np.ones(DIMENSIONS, np.float32))
     if len(counts) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     counts = F.broadcast(labelled.sparkSession.createDataFrame(counts, "lang string, n long"))
-    share = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()  # the sample's texts at most
         for b in (b.slice(i, 256) for b in slices(batches, "text") for i in range(0, b.num_rows, 256)):
+            keys = list(zip(b.column("lang").to_pylist(), b.column("hash").to_pylist()))
+            first = {k: i for i, k in reversed(list(enumerate(keys))) if k not in seen}
+            seen.update(first)
+            b = b.take(pa.array(sorted(first.values()), pa.int64()))
             grams = [gram_counts(t) for t in b.column("text").to_pylist()]
             made = [g.clip(max=65535).astype("<u2").tobytes() if g.any() else None for g in grams]
-            made = pa.RecordBatch.from_arrays([b.column("lang"), pa.array(made, pa.binary())], ["lang", "grams"])
+            columns = [b.column("lang"), b.column("hash"), pa.array(made, pa.binary())]
+            made = pa.RecordBatch.from_arrays(columns, ["lang", "hash", "grams"])
             yield made.filter(made.column("grams").is_valid())
 
     # One Python step per task: a filter on a UDF's result would work it out twice, in two workers.
     sample = written(
         rows.join(counts, "lang")
         .where(share * F.col("n") < per_language)
-        .select("lang", "text")
-        .mapInArrow(counted, "lang string, grams binary"),
+        .select("lang", "hash", "text")
+        .mapInArrow(counted, "lang string, hash long, grams binary")
+        .groupBy("lang", "hash")
+        .agg(F.min("grams").alias("grams")),
         "languages",
     )
 
@@ -215,9 +226,13 @@ def known_language(docs: DataFrame, model: LanguageModel, text_column: str = "te
     Rows are judged in slices of some megabytes of text, whatever the lengths of the texts.
     """
 
+    text = f"c{docs.columns.index(text_column)}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_column):
-            _, _, rejected = model.classify(b.column(text_column).to_pylist())
+        for b in slices(batches, text):
+            _, _, rejected = model.classify(b.column(text).to_pylist())
             yield b.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    # mapInArrow takes no names with dots: columns go by their places.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
