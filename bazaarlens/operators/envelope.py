@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from bazaarlens.functions import payload as P
 from bazaarlens.functions.vocabulary import (
     EMPTY_UUID,
+    ERASURE_EVENT,
     INGESTION_PRINCIPAL,
     RETRY_BUDGET,
     SCHEMA_VERSION_LABEL,
@@ -40,7 +41,7 @@ def parse_messages(messages: DataFrame, as_of: Column) -> DataFrame:
         "partition",
         "offset",
         "key",
-        F.coalesce("timestamp", as_of).alias("broker_at"),
+        F.col("timestamp").alias("broker_at"),
         text.alias("payload"),
         *[_header(f).alias(f"h_{f}") for f in ENVELOPE_FIELDS],
         as_of.alias("as_of"),
@@ -179,21 +180,25 @@ def arrival_order(df: DataFrame) -> DataFrame:
     """``arrival_seq``: processing time of the batch, then the broker's time, then its position.
 
     ``arrival_chunk`` is the batch and the hour of the broker's time, so that a replay of years as
-    one batch has many chunks. A message without a broker time counts as of its batch's time.
+    one batch has many chunks. A message without a broker time counts as of its batch's time, but
+    an erasure without one as the last of its batch: what it came before can't be known, and must
+    not stay clear.
     """
     batch = sortable_micros(F.col("ingested_at"))
+    last = F.when(F.col("event_type") == ERASURE_EVENT, F.lit("2200-01-01").cast("timestamp"))
+    at = F.coalesce("broker_at", last, "ingested_at")
     return df.withColumns(
         {
             "arrival_seq": F.concat_ws(
                 ".",
                 batch,
-                sortable_micros(F.col("broker_at")),
+                sortable_micros(at),
                 F.col("topic"),
                 F.lpad(F.col("partition").cast("string"), 6, "0"),
                 F.lpad(F.col("offset").cast("string"), 19, "0"),
             ),
             "arrival_chunk": F.concat_ws(
-                ".", batch, sortable_micros(F.date_trunc("hour", "broker_at"))
+                ".", batch, sortable_micros(F.date_trunc("hour", at))
             ),
         }
     )

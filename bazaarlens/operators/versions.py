@@ -105,6 +105,11 @@ def latest_versions(versions: DataFrame) -> DataFrame:
     )
 
 
+def named_user(payload: Column) -> Column:
+    """The payload's user as text, whatever its JSON kind; of a repeated field the last counts."""
+    return F.try_variant_get(P.parse_fields(payload, "userId")["userId"], "$", "string")
+
+
 def erasure_deliveries(arrivals: DataFrame) -> DataFrame:
     """Accepted erasure events that name a user."""
     user = P.as_string(P.parse_fields(F.col("payload"), "userId")["userId"])
@@ -127,7 +132,7 @@ def redaction_hits(versions: DataFrame, erasures: DataFrame, keep: Keep) -> Data
     already = versions.where("pii_redacted_at is not null").select("event_id").distinct()
     personal = (
         versions.where("contains_pii and pii_redacted_at is null")
-        .withColumn("user_id", P.lenient_text(F.col("payload"), "userId"))
+        .withColumn("user_id", named_user(F.col("payload")))
         .select("event_id", "user_id", "payload", "arrival_seq", "arrival_chunk")
         .join(erasures.select("user_id").distinct(), "user_id", "left_semi")
         .join(already, "event_id", "left_anti")
@@ -264,14 +269,14 @@ def _records(counted: DataFrame) -> DataFrame:
 
 def with_extracted_fields(events: DataFrame) -> DataFrame:
     """The payload fields dashboards read, parsed once so that projections never parse JSON."""
-    names = ("orderId", "sku", "channel", "action", "adminId", "rating", "total")
+    names = ("orderId", "userId", "sku", "channel", "action", "adminId", "rating", "total")
     fields = P.parse_fields(F.col("payload"), *names)
     return (
         events.withColumn("_f", fields)
         .withColumns(
             {
                 "order_id": P.as_string(F.col("_f.orderId")),
-                "user_id": P.lenient_text(F.col("payload"), "userId"),
+                "user_id": F.try_variant_get(F.col("_f.userId"), "$", "string"),
                 "sku": P.as_string(F.col("_f.sku")),
                 "channel": P.as_string(F.col("_f.channel")),
                 "action": P.as_string(F.col("_f.action")),
