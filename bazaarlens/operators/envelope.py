@@ -22,6 +22,11 @@ from bazaarlens.functions.vocabulary import (
 ENVELOPE_FIELDS = ("eventType", "eventId", "publisherService", "occurredAt")
 
 
+def erasure_last() -> Column:
+    """An instant after every broker time for erasures, null for other events."""
+    return F.when(F.col("event_type") == ERASURE_EVENT, F.expr("timestamp '2200-01-01 00:00:00'"))
+
+
 def _header(name: str) -> Column:
     """The last header of that name, as text."""
     named = F.filter(F.col("headers"), lambda h: h["key"] == name)
@@ -185,8 +190,7 @@ def arrival_order(df: DataFrame) -> DataFrame:
     not stay clear.
     """
     batch = sortable_micros(F.col("ingested_at"))
-    last = F.when(F.col("event_type") == ERASURE_EVENT, F.lit("2200-01-01").cast("timestamp"))
-    at = F.coalesce("broker_at", last, "ingested_at")
+    at = F.coalesce("broker_at", erasure_last(), "ingested_at")
     return df.withColumns(
         {
             "arrival_seq": F.concat_ws(
