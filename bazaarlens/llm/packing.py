@@ -26,7 +26,7 @@ LENGTH = 2048
 #: Buckets of a hashed vector, dimensions of the curve, bits of each.
 BUCKETS, DIMENSIONS, BITS = 256, 4, 15
 #: Pretokens that a worker remembers the ids of, and the longest of them.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 _LONG = 48
 
 
@@ -102,13 +102,15 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        # The pretoken pattern of this kind of vocabulary, in the terms of ``re``.
+        # The pretoken pattern of this kind of vocabulary in the terms of ``re``, for
+        # printable ASCII, tab, line ends, and Latin letters with and without accents (no number
+        # forms, no other blanks); a text with any other character goes to the tokenizer.
+        letters = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+        blanks = " \t\n\r"
         self.split = re.compile(
-            r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+            f" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^{blanks}0-9{letters}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+"
         ).findall
-        # Characters whose classes agree between the two: printable ASCII, tab, line ends, and
-        # Latin letters with and without accents (no number forms, no other blanks).
-        plain = "[^\\t\\n\\r -~\\u00a1-\\u00b1\\u00b4-\\u00b8\\u00ba\\u00bb\\u00bf-\\u024f]"
+        plain = "[^\\t\\n\\r -~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f]"
         self.other = re.compile("|".join([plain, *added])).search
         # Byte-level files spell a byte that has no visible character with one from 256 on.
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
