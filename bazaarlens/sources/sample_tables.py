@@ -338,6 +338,78 @@ def wire_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def priced_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines as items, and the products' prices and categories over time: every
+    third product's price rises by 10 after 400 days, every seventh moves to another category
+    after 500."""
+    lines = read(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "named_struct('sku', concat('sku-', l_partkey), 'qty', cast(l_quantity as int)) as item"
+    )
+    lines = lines.groupBy("l_orderkey").agg(F.to_json(F.collect_list("item")).alias("items"))
+    created = f"cast({_ORDER_T0} + INTERVAL '1' HOUR as timestamp)"
+    orders = (
+        read(spark, sf_dir, "orders")
+        .where("o_orderkey % 10 <> 0")
+        .join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+        .selectExpr(
+            _uuid("concat('OrderCreated:', o_orderkey)", "event_id"), "'OrderCreated' as event_type",
+            f"{created} as occurred_at", f"""concat('{{', {_ORDER_ID}, ',"items":', items, '}}') as payload""",
+        )
+    )
+
+    def version(kind: str, when: str, days: int, fields: str) -> DataFrame:
+        at = f"cast({_PART_T0} + INTERVAL '{days}' DAY as timestamp)"
+        return read(spark, sf_dir, "part").where(when).selectExpr(
+            _uuid(f"concat('{kind}:{days}:', p_partkey)", "event_id"), f"'{kind}' as event_type", f"{at} as occurred_at",
+            f"concat('{{', {_PART_SKU}, {fields}, '}}') as payload",
+        )
+
+    price = "cast(p_retailprice as decimal(18,2))"
+    return _union(
+        [
+            orders,
+            version("ProductCreated", "true", 0, f"""',"price":', {price}, ',"categoryId":"', p_type, '"'"""),
+            version("ProductPriceChanged", "p_partkey % 3 = 0", 400, f"""',"newPrice":', {price} + 10"""),
+            version("ProductCreated", "p_partkey % 7 = 0", 500, """',"categoryId":"', p_type, ' moved"'"""),
+        ]
+    )
+
+
+def review_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order line as a review, in three batches; lines that share a key are edits of one."""
+    key = "concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as int), l_shipdate)"
+    return read(spark, sf_dir, "lineitem").selectExpr(
+        _uuid(f"concat('Review:', {key})", "event_id"),
+        "'ReviewSubmitted' as event_type",
+        "cast(l_shipdate + l_linenumber * INTERVAL '1' HOUR as timestamp) as occurred_at",
+        """concat('{"orderId":"o-', l_orderkey, '","sku":"line-', l_linenumber, '","rating":', cast(l_quantity as int) % 6, '}')
+           as payload""",
+        "cast(l_suppkey % 3 as int) as batch",
+    )
+
+
+def coupon_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and the coupons redeemed for every fourth (for some twice), in three batches: either
+    side may come in an earlier batch and bucket than the other."""
+    orders = read(spark, sf_dir, "orders")
+    created = orders.where("o_orderkey % 10 <> 0").selectExpr(
+        _uuid("concat('OrderCreated:', o_orderkey)", "event_id"), "'OrderCreated' as event_type",
+        f"cast({_ORDER_T0} + INTERVAL '1' HOUR as timestamp) as occurred_at",
+        f"""concat('{{', {_ORDER_ID}, ',"total":', cast(o_totalprice as decimal(18,2)), '}}') as payload""",
+        "cast(floor(o_orderkey / 7) % 3 as int) as batch",
+    )
+
+    def redeemed(when: str, no: int) -> DataFrame:
+        at = f"cast({_ORDER_T0} + {_hours(f'o_orderkey % 50 - 20 + {no}')} as timestamp)"
+        return orders.where(when).selectExpr(
+            _uuid(f"concat('CouponRedeemed:{no}:', o_orderkey)", "event_id"), "'CouponRedeemed' as event_type", f"{at} as occurred_at",
+            f"""concat('{{', {_ORDER_ID}, ',"code":"c-', o_orderkey % 10, '"}}') as payload""",
+            f"cast((o_orderkey + {no}) % 3 as int) as batch",
+        )
+
+    return _union([created, redeemed("o_orderkey % 4 = 0", 0), redeemed("o_orderkey % 12 = 0", 1)])
+
+
 def reconciliation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ledger row per order date: most completed, every 10th failed, every 11th running."""
     return (

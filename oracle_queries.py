@@ -700,7 +700,181 @@ def replay_equality() -> str:
     return "SELECT 0::BIGINT AS differing_rows"
 
 
+# --- stored jobs: the last delivery of each event id among all messages ---------------------
+
+STORED = f"""{WIRE},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY event_id
+             ORDER BY ingested_at DESC, topic DESC, part DESC, off DESC) AS rn
+           FROM parsed WHERE failure_reason IS NULL),
+cur AS (SELECT event_id, event_type AS t, occurred_at AS ts, text FROM ranked WHERE rn = 1)"""
+
+
+def reconcile_store() -> str:
+    return f"""{STORED}, d AS (SELECT max(o_orderdate)::DATE AS d FROM orders),
+g(granularity) AS (VALUES ('hour'), ('day'), ('week'), ('month')),
+spine AS (SELECT granularity, date_trunc(granularity, h)::TIMESTAMP AS bucket_start, d FROM g,
+   (SELECT d, unnest(generate_series(d::TIMESTAMP, d::TIMESTAMP + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS h FROM d)
+   GROUP BY ALL),
+s AS (SELECT *, CASE granularity WHEN 'hour' THEN bucket_start + INTERVAL 1 HOUR
+   WHEN 'day' THEN bucket_start + INTERVAL 1 DAY WHEN 'week' THEN bucket_start + INTERVAL 7 DAY
+   ELSE bucket_start + INTERVAL 1 MONTH END AS bucket_end FROM spine)
+SELECT {ID} AS id, granularity, bucket_start,
+  coalesce(sum((text->>'total')::DECIMAL(18,2)), 0)::DECIMAL(38,2) AS revenue_amount, count(ts) AS order_count,
+  bucket_end > d + INTERVAL 1 DAY AS is_provisional, d AS reconciled_through,
+  'completed' AS first_run, 'already_completed' AS second_run
+FROM s LEFT JOIN (SELECT * FROM cur WHERE t = 'OrderCreated') e ON e.ts >= s.bucket_start AND e.ts < s.bucket_end
+GROUP BY granularity, bucket_start, bucket_end, d"""
+
+
+def tick_store() -> str:
+    counts = ", ".join(f"count(*) FILTER (t = '{s}') AS count_{i}" for i, s in enumerate(STAGES))
+    return f"""{STORED}, n AS (SELECT max(o_orderdate) + INTERVAL 630 MINUTE AS as_of FROM orders),
+g(granularity) AS (VALUES ('hour'), ('day'), ('week'), ('month')),
+s AS (SELECT granularity, date_trunc(granularity, as_of)::TIMESTAMP AS bucket_start, as_of FROM g, n)
+SELECT {ID} AS id, granularity, bucket_start, {counts}, true AS is_provisional
+FROM s LEFT JOIN cur e ON e.ts >= s.bucket_start AND e.ts < s.as_of
+GROUP BY granularity, bucket_start"""
+
+
+def dlq_drain_store() -> str:
+    return f"""{DLQ},
+ok AS (SELECT *, json_valid(text) AND left(text, 1) = '{{' AS fixable FROM dlq)
+SELECT dlq_id, event_type, failure_reason, CASE WHEN fixable THEN TIMESTAMP '2025-01-02' END AS reprocessed_at,
+       CASE WHEN fixable THEN 'system:analytics-dlq-reprocessor' ELSE 'system:analytics-ingestion-consumer' END AS updated_by
+FROM ok"""
+
+
+def serve_store() -> str:
+    """Counts over all events; revenue by month; fulfillment as the mean of the months' percentiles."""
+
+    def count(dashboard: str, measure: str, types: str, where: str = "true") -> str:
+        return f"SELECT '{dashboard}' AS dashboard, '{measure}' AS measure, count(*)::DOUBLE AS value FROM cur WHERE t IN ({types}) AND {where}"
+
+    rating = "CASE WHEN json_type(text, '$.rating') IN ('UBIGINT', 'BIGINT') THEN (text->>'rating')::BIGINT ELSE 0 END"
+    channel = "CASE WHEN json_type(text, '$.channel') = 'VARCHAR' THEN text->>'channel' END"
+    rows = [count("order_conversion_funnel", f"{s} count", f"'{s}'") for s in STAGES]
+    rows += [count("inventory_movement", c, f"'{t}'") for c, t in (
+        ("reserved", "InventoryReserved"), ("reservation_failed", "InventoryReservationFailed"),
+        ("released", "InventoryReleased"), ("replenished", "InventoryReplenished"))]
+    rows += [count("catalog_pricing", c, f"'{t}'") for c, t in (
+        ("products_created", "ProductCreated"), ("price_changes", "ProductPriceChanged"), ("category_updates", "CategoryUpdated"))]
+    rows += [count("user_growth", c, t) for c, t in (
+        ("signups", "'UserRegistered'"), ("sessions_created", "'SessionCreated'"),
+        ("profile_changes", "'UserProfileUpdated', 'UserAccountUpdated'"))]
+    rows += [count("promotions_effectiveness", c, f"'{t}'") for c, t in (
+        ("coupons_redeemed", "CouponRedeemed"), ("quotes_issued", "PriceQuoteIssued"))]
+    rows += [count("reviews_ratings", "review_count", "'ReviewSubmitted'")]
+    rows += [count("reviews_ratings", f"stars_{n}", "'ReviewSubmitted'", f"{rating} = {n}") for n in range(1, 6)]
+    rows += [count("notification_delivery", "all sent", "'NotificationSent'"),
+             count("notification_delivery", "all price_alerts_triggered", "'WishlistPriceAlertTriggered'"),
+             count("notification_delivery", "all is_total", "'NotificationSent'")]
+    quantiles = ", ".join(
+        f"coalesce(quantile_disc(h, {p / 100}) FILTER (leg = '{leg}'), 0) AS time_to_{name}_p{p}_hours"
+        for name, leg in (("ship", "ShipmentDispatched"), ("deliver", "OrderDelivered")) for p in (50, 95, 99))
+    means = " UNION ALL ".join(
+        f"SELECT 'fulfillment_performance', '{c}', coalesce(avg({c}), 0) FROM months" for c in FULFILLMENT_COLUMNS)
+    rows = [r for r in rows if "is_total" not in r]
+    return f"""{STORED},
+legs AS (SELECT date_trunc('month', ts) AS m, t, text->>'orderId' AS k, ts FROM cur
+         WHERE t IN ('OrderConfirmed', 'ShipmentDispatched', 'OrderDelivered') AND json_type(text, '$.orderId') = 'VARCHAR'),
+ends AS (SELECT m, t, k, min(ts) AS ended FROM legs WHERE t <> 'OrderConfirmed' GROUP BY ALL),
+d AS (SELECT s.m, e.t AS leg, date_diff('microsecond', s.ts, e.ended) / 3.6e9 AS h
+      FROM legs s JOIN ends e ON s.m = e.m AND s.k = e.k
+       AND ((s.t = 'OrderConfirmed' AND e.t = 'ShipmentDispatched') OR (s.t = 'ShipmentDispatched' AND e.t = 'OrderDelivered'))),
+spine AS (SELECT DISTINCT date_trunc('month', ts)::TIMESTAMP AS m FROM cur),
+months AS (SELECT m, {quantiles} FROM spine LEFT JOIN d USING (m) GROUP BY m),
+shown AS (
+{" UNION ALL ".join(rows)}
+UNION ALL SELECT 'revenue', strftime(m, '%Y-%m') || ' revenue', coalesce(sum((text->>'total')::DECIMAL(18,2)), 0)::DOUBLE
+  FROM spine LEFT JOIN (SELECT * FROM cur WHERE t = 'OrderCreated') o ON date_trunc('month', o.ts) = m GROUP BY m
+UNION ALL SELECT 'revenue', strftime(m, '%Y-%m') || ' orders', count(o.ts)::DOUBLE
+  FROM spine LEFT JOIN (SELECT * FROM cur WHERE t = 'OrderCreated') o ON date_trunc('month', o.ts) = m GROUP BY m
+UNION ALL SELECT 'promotions_effectiveness', 'volume', coalesce(sum((text->>'total')::DECIMAL(18,2)), 0)::DOUBLE
+  FROM cur WHERE t = 'PriceQuoteIssued'
+UNION ALL SELECT 'promotions_effectiveness', 'redemption_rate',
+  coalesce((count(*) FILTER (t = 'CouponRedeemed'))::DOUBLE / nullif(count(*) FILTER (t = 'PriceQuoteIssued'), 0), 0) FROM cur
+UNION ALL SELECT 'admin_audit', coalesce(text->>'action', 'unknown') || ' ' || coalesce(text->>'adminId', 'unknown'), count(*)::DOUBLE
+  FROM cur WHERE t = 'AdminActionPerformed' GROUP BY 1, 2
+UNION ALL SELECT 'notification_delivery', {channel} || ' sent', count(*)::DOUBLE
+  FROM cur WHERE t = 'NotificationSent' AND {channel} IS NOT NULL GROUP BY 2
+UNION ALL SELECT DISTINCT 'notification_delivery', {channel} || ' price_alerts_triggered', 0::DOUBLE
+  FROM cur WHERE t = 'NotificationSent' AND {channel} IS NOT NULL
+UNION ALL {means})
+SELECT dashboard, measure, round(value, 6) AS value FROM shown"""
+
+
+# --- breakdowns, corrections, exact percentiles -------------------------------------------------
+
+
+def _priced(key: str, sku: str, category: str) -> str:
+    return f"""
+WITH lines AS (SELECT o_orderkey AS k, {T0} + INTERVAL 1 HOUR AS ts, 'sku-' || l_partkey AS sku, sum(l_quantity::INT) AS q
+     FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 10 <> 0 GROUP BY ALL),
+p0 AS (SELECT *, TIMESTAMP '1995-01-01' + (p_partkey % 700) * INTERVAL 1 DAY AS t0, p_retailprice::DECIMAL(18,2) AS price FROM part),
+prices AS (SELECT 'sku-' || p_partkey AS sku, t0 AS ts, price FROM p0
+           UNION ALL SELECT 'sku-' || p_partkey, t0 + INTERVAL 400 DAY, price + 10 FROM p0 WHERE p_partkey % 3 = 0),
+cats AS (SELECT 'sku-' || p_partkey AS sku, t0 AS ts, p_type AS category FROM p0
+         UNION ALL SELECT 'sku-' || p_partkey, t0 + INTERVAL 500 DAY, p_type || ' moved' FROM p0 WHERE p_partkey % 7 = 0),
+priced AS (SELECT l.*, coalesce(p.price, 0) * l.q AS v FROM lines l ASOF LEFT JOIN prices p ON l.sku = p.sku AND l.ts >= p.ts),
+rows AS (SELECT l.k, l.ts, l.v, l.sku, c.category FROM priced l ASOF LEFT JOIN cats c ON l.sku = c.sku AND l.ts >= c.ts),
+g(granularity) AS (VALUES ('hour'), ('day'), ('week'), ('month')),
+b AS (SELECT granularity, date_trunc(granularity, ts)::TIMESTAMP AS bucket_start, {key} AS key, k, v FROM rows, g WHERE {key} IS NOT NULL)
+SELECT {ID} || ':' || key AS id, granularity, bucket_start, {sku} AS sku, {category} AS category,
+       sum(v)::DECIMAL(38,2) AS revenue_amount, 'USD' AS revenue_currency, count(DISTINCT k) AS order_count
+FROM b GROUP BY granularity, bucket_start, key"""
+
+
+def revenue_by_sku() -> str:
+    return _priced("sku", "key", "NULL::VARCHAR")
+
+
+def revenue_by_category() -> str:
+    return _priced("category", "NULL::VARCHAR", "key")
+
+
+def rating_edits() -> str:
+    key = "concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S'))"
+    return f"""
+WITH e AS (SELECT l_orderkey, l_linenumber, {uuid_of(f"'Review:' || {key}")} AS id,
+                  l_shipdate + l_linenumber * INTERVAL 1 HOUR AS ts, l_quantity::INT % 6 AS stars FROM lineitem),
+last AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY ts DESC, id DESC) AS rn FROM e),
+g(granularity) AS (VALUES ('hour'), ('day'), ('week'), ('month'))
+SELECT granularity, date_trunc(granularity, ts)::TIMESTAMP AS bucket_start, stars, count(*) AS reviews
+FROM last, g WHERE rn = 1 GROUP BY ALL"""
+
+
+def coupon_volume() -> str:
+    return f"""
+WITH c AS (SELECT o_orderkey AS k, {T0} + (o_orderkey % 50 - 20 + no) * INTERVAL 1 HOUR AS ts, 'c-' || o_orderkey % 10 AS code,
+                  o_totalprice::DECIMAL(18,2) AS v
+           FROM orders, (VALUES (0, 4), (1, 12)) x(no, every) WHERE o_orderkey % every = 0 AND o_orderkey % 10 <> 0),
+g(granularity) AS (VALUES ('hour'), ('day'), ('week'), ('month'))
+SELECT granularity, date_trunc(granularity, ts)::TIMESTAMP AS bucket_start, code,
+       sum(v)::DECIMAL(38,2) AS amount, count(*) AS redemptions
+FROM c, g GROUP BY ALL"""
+
+
+def fulfillment_percentiles() -> str:
+    legs = "(VALUES ('time_to_ship', 'OrderConfirmed', 'ShipmentDispatched'), ('time_to_deliver', 'ShipmentDispatched', 'OrderDelivered')) l(leg, a, z)"
+    picked = " UNION ALL ".join(f"SELECT range, leg, {p} AS percent, quantile_disc(m, {p / 100}) AS micros FROM d GROUP BY ALL" for p in (50, 95, 99))
+    return f"""
+WITH ev AS ({ORDER_EVENTS}), ends AS (SELECT t, k, min(ts) AS ended FROM ev GROUP BY ALL),
+one AS (SELECT leg, s.ts, date_diff('microsecond', s.ts, e.ended) AS m
+        FROM {legs} JOIN ev s ON s.t = a JOIN ends e ON e.t = z AND e.k = s.k),
+d AS (SELECT year(ts)::VARCHAR AS range, leg, m FROM one UNION ALL SELECT 'ever', leg, m FROM one)
+{picked}"""
+
+
 ORACLES = {
+    "reconcile_store": reconcile_store,
+    "tick_store": tick_store,
+    "dlq_drain_store": dlq_drain_store,
+    "serve_store": serve_store,
+    "revenue_by_sku": revenue_by_sku,
+    "revenue_by_category": revenue_by_category,
+    "rating_edits": rating_edits,
+    "coupon_volume": coupon_volume,
+    "fulfillment_percentiles": fulfillment_percentiles,
     "ingest_envelope_parse": ingest_envelope_parse,
     "ingest_reject_split": ingest_reject_split,
     "ingest_outcomes": ingest_outcomes,
