@@ -28,7 +28,7 @@ from bazaarlens.llm.common import Remembered, column, slices
 
 BLANK = "▁"
 #: Stretches that a worker remembers, and the longest of them.
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 _LONG = 64
 #: What an unknown character costs below the lowest score.
 UNKNOWN_COST = 10.0
