@@ -96,7 +96,7 @@ class Ids:
     pattern.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -116,7 +116,7 @@ class Ids:
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = (b for b in range(256) if b not in visible)
         self.spelling = {b: 256 + i for i, b in enumerate(hidden)}
-        self.known = Remembered(self._pretoken, REMEMBERED, _LONG)
+        self.known = Remembered(self._pretoken, remember, _LONG)
         made = json.loads(self.tokenizer.to_str())
         standard = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         before = made["pre_tokenizer"] or {}
@@ -140,14 +140,16 @@ class Ids:
 
 
 @lru_cache(2)
-def tokenizer(path: str) -> Ids:
-    return Ids(path)
+def tokenizer(path: str, remember: int = REMEMBERED) -> Ids:
+    return Ids(path, remember)
 
 
 # --- packing ----------------------------------------------------------------------------------
 
 
-def tokenized(docs: DataFrame, vocabulary: str, end_id: int, bounds: np.ndarray | None = None) -> DataFrame:
+def tokenized(
+    docs: DataFrame, vocabulary: str, end_id: int, bounds: np.ndarray | None = None, remember: int = REMEMBERED
+) -> DataFrame:
     """(id, place, tie, tokens, width, share) of documents (id, text).
 
     tokens are the ids with ``end_id`` as little-endian bytes, ``width`` each (2 if the vocabulary
@@ -157,7 +159,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, bounds: np.ndarray
     bounds = np.zeros((0, 2), np.int64) if bounds is None else bounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(vocabulary)
+        own = tokenizer(vocabulary, remember)
         end = np.array([end_id], own.kind)
         for b in slices(batches, "text"):
             ids = own.encode([t or "" for t in b.column("text").to_pylist()])
@@ -184,7 +186,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, bounds: np.ndarray
     return texts.mapInArrow(run, f"id {kind}, place long, tie long, tokens binary, width int, share int")
 
 
-def _bounds(docs: DataFrame, vocabulary: str, shares: int) -> np.ndarray:
+def _bounds(docs: DataFrame, vocabulary: str, shares: int, remember: int) -> np.ndarray:
     """Pairs (place, tie) that cut the curve into about equal ``shares``.
 
     They come from a sample of about 60 documents per share and only spread the work. The tie
@@ -195,7 +197,7 @@ def _bounds(docs: DataFrame, vocabulary: str, shares: int) -> np.ndarray:
     if n < 2 or shares < 2:
         return np.zeros((0, 2), np.int64)
     sample = docs.sample(min(1.0, 60 * shares / n), seed=1)
-    found = tokenized(sample, vocabulary, 0).select("place", "tie").collect()
+    found = tokenized(sample, vocabulary, 0, None, remember).select("place", "tie").collect()
     if not found:
         return np.zeros((0, 2), np.int64)
     pairs = np.array(sorted({tuple(r) for r in found}), np.int64)
@@ -211,6 +213,7 @@ def pack(
     id_column: str = "doc_id",
     text_column: str = "text",
     with_ids: bool = True,
+    remember: int = REMEMBERED,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
@@ -218,7 +221,8 @@ def pack(
     All sequences of a range are full but the last few, whose lengths are powers of two, so that
     none needs padding. Repeated rows are documents of their own. Documents at one place
     are ordered by a hash of id and text, and a range may end between them, so that a large
-    group of copies is spread. Sequence ids are unique, not consecutive.
+    group of copies is spread. Sequence ids are unique, not consecutive. ``remember`` bounds the
+    pretokens that a worker keeps the ids of: more are faster, some 400 bytes each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +275,7 @@ def pack(
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     shares = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = (
-        tokenized(texts, vocabulary, end_id, _bounds(texts, vocabulary, shares))
+        tokenized(texts, vocabulary, end_id, _bounds(texts, vocabulary, shares, remember), remember)
         .repartitionById(shares, F.col("share"))
         .sortWithinPartitions("place", "tie", "id", "tokens")
         .mapInArrow(
