@@ -32,7 +32,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences of at most 2048 tokens."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.pack(docs, path, end_id=1, length=2048, with_ids=False)
+    # The workers of all stages share an executor's memory.
+    return packing.pack(docs, path, end_id=1, length=2048, with_ids=False, remember=50_000)
 
 
 STAGES = [
