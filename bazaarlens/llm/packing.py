@@ -186,7 +186,7 @@ def tokenized(
     return texts.mapInArrow(run, f"id {kind}, place long, tie long, tokens binary, width int, share int")
 
 
-def _bounds(docs: DataFrame, vocabulary: str, shares: int, remember: int) -> np.ndarray:
+def _bounds(docs: DataFrame, vocabulary: str, shares: int, remember: int = REMEMBERED) -> np.ndarray:
     """Pairs (place, tie) that cut the curve into about equal ``shares``.
 
     They come from a sample of about 60 documents per share and only spread the work. The tie
