@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.vocabulary import PII_EVENT_TYPES, PII_FIELDS, REDACTED
 
-MONEY = "decimal(28,6)"
+MONEY = "decimal(38,6)"
+
+#: Amounts are 96-bit integers with a decimal point; what is larger is no amount.
+LARGEST_MONEY = Decimal(2**96 - 1)
 
 
 def parse_fields(payload: Column, *names: str) -> Column:
@@ -25,10 +30,13 @@ def as_string(field: Column) -> Column:
 
 
 def as_money(field: Column) -> Column:
-    """The field when it is a JSON number, else 0."""
+    """The field when it is a JSON number of at most LARGEST_MONEY either way, else 0.
+
+    Six fraction digits are kept, further ones rounded.
+    """
     numeric = (kind(field).isin("BIGINT", "DOUBLE", "FLOAT")) | kind(field).startswith("DECIMAL")
     value = F.when(numeric, F.try_variant_get(field, "$", MONEY))
-    return F.coalesce(value, F.lit(0).cast(MONEY))
+    return F.coalesce(F.when(F.abs(value) <= F.lit(LARGEST_MONEY), value), F.lit(0).cast(MONEY))
 
 
 def as_int(field: Column) -> Column:

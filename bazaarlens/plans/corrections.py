@@ -96,7 +96,7 @@ def rating_histogram(changes: DataFrame) -> DataFrame:
 
 # --- coupons ---------------------------------------------------------------------------------
 
-COUPON_SIDE = "order_id string, side string, event_id string, bucket_hour timestamp, code string, total decimal(28,6)"
+COUPON_SIDE = "order_id string, side string, event_id string, bucket_hour timestamp, code string, total decimal(38,6)"
 
 
 def coupon_sides(events: DataFrame) -> DataFrame:

@@ -79,6 +79,11 @@ def test_hours_and_buckets_of_a_window(spark):
         ('{"f":1e2}', None, 100, 0),
         ('{"f":42.123456}', None, 42.123456, 0),
         ('{"f":99999999999}', None, 99999999999, 0),
+        ('{"f":1e22}', None, 1e22, 0),
+        ('{"f":-12345678901234567890123456789}', None, -12345678901234567890123456789, 0),
+        ('{"f":79228162514264337593543950335}', None, 2**96 - 1, 0),
+        ('{"f":79228162514264337593543950336}', None, 0, 0),
+        ('{"f":1e40}', None, 0, 0),
         ('{"f":true}', None, 0, 0),
         ('{"f":null}', None, 0, 0),
         ('{"f":{"x":1}}', None, 0, 0),
