@@ -51,16 +51,22 @@ def lenient_text(payload: Column, name: str) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    """The text is exactly one JSON value.
+    """The text is exactly one JSON value."""
+    return is_framed(framed_variant(text), text)
 
-    The parser stops after the first value, so the text is also read as the first of two
-    fields: anything trailing it then breaks the outer object or adds a field.
+
+def framed_variant(text: Column) -> Column:
+    """The text and its own hash, read as the two elements of an array; null if that is no JSON.
+
+    The parser stops after the first value, so anything trailing it would go unseen. In the frame
+    it breaks the array or comes where the hash belongs.
     """
-    framed = F.concat(F.lit('{"first":'), text, F.lit(',"last":0}'))
-    alone = F.coalesce(
-        F.json_object_keys(framed) == F.array(F.lit("first"), F.lit("last")), F.lit(False)
-    )
-    return F.try_parse_json(text).isNotNull() & alone
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), F.xxhash64(text).cast("string"), F.lit("]")))
+
+
+def is_framed(framed: Column, text: Column) -> Column:
+    """Whether ``framed_variant`` of the text holds exactly one JSON value and the hash."""
+    return F.coalesce(F.try_variant_get(framed, "$[1]", "bigint") == F.xxhash64(text), F.lit(False))
 
 
 def is_json_object(text: Column) -> Column:
@@ -69,7 +75,7 @@ def is_json_object(text: Column) -> Column:
 
 def shape_fingerprint(payload: Column) -> Column:
     """First 16 hex digits of the SHA-256 of the sorted top-level field names."""
-    names = F.array_sort(F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>")))
+    names = F.sort_array(F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>")))
     return F.upper(F.substring(F.sha2(F.array_join(names, ","), 256), 1, 16))
 
 
@@ -139,10 +145,12 @@ def canonical_uuid(text: Column) -> Column:
     """Lower-case hyphenated form of a uuid written plain, hyphenated, in braces or parentheses."""
     raw = F.lower(F.trim(text))
     dashed = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
-    wellformed = raw.rlike(rf"^([0-9a-f]{{32}}|{dashed}|\{{{dashed}\}}|\({dashed}\))$")
     size = F.length(raw)
-    bare = F.when(size == 32, hyphenate(raw)).when(size == 36, raw).otherwise(F.substring(raw, 2, 36))
-    return F.when(wellformed, bare)
+    return (
+        F.when((size == 32) & raw.rlike("^[0-9a-f]{32}$"), hyphenate(raw))
+        .when((size == 36) & raw.rlike(f"^{dashed}$"), raw)
+        .when((size == 38) & raw.rlike(rf"^(\{{{dashed}\}}|\({dashed}\))$"), F.substring(raw, 2, 36))
+    )
 
 
 def hyphenate(hex32: Column) -> Column:
@@ -152,7 +160,9 @@ def hyphenate(hex32: Column) -> Column:
 
 def iso_timestamp(text: Column) -> Column:
     """ISO-8601 date or date-time, zone optional (UTC when absent); null when it is not one."""
-    shaped = F.trim(text).rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}.*)?$")
+    raw = F.trim(text)
+    shaped = raw.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}.*)?$")
     # Spark's cast wants seconds where a zone follows.
-    full = F.regexp_replace(F.trim(text), r"^(.{10}[T ]\d{2}:\d{2})(?=Z|[+-])", "$1:00")
+    bare = F.substring(raw, 17, 1).isin("Z", "+", "-")
+    full = F.when(bare, F.concat(F.substring(raw, 1, 16), F.lit(":00"), F.substr(raw, F.lit(17)))).otherwise(raw)
     return F.when(shaped, full.try_cast("timestamp"))

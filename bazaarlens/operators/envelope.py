@@ -29,8 +29,9 @@ def erasure_last() -> Column:
 
 def _header(name: str) -> Column:
     """The last header of that name, as text."""
-    named = F.filter(F.col("headers"), lambda h: h["key"] == name)
-    return F.make_valid_utf8(F.try_element_at(named, F.lit(-1))["value"].cast("string"))
+    names = F.col("headers")["key"]
+    from_end = F.array_position(F.reverse(names), name).cast("int")
+    return F.make_valid_utf8(F.get(F.col("headers")["value"], F.size(names) - from_end).cast("string"))
 
 
 def message_id() -> Column:
@@ -51,21 +52,19 @@ def parse_messages(messages: DataFrame, as_of: Column) -> DataFrame:
         *[_header(f).alias(f"h_{f}") for f in ENVELOPE_FIELDS],
         as_of.alias("as_of"),
     )
-    json_ok = F.coalesce(P.is_json(F.col("payload")), F.lit(False))
     consulted = {f: F.col(f"h_{f}").isNull() for f in ENVELOPE_FIELDS}
     any_consulted = F.lit(False)
     for f in ENVELOPE_FIELDS:
         any_consulted = any_consulted | consulted[f]
-    # The body is only opened for fields that no header gives.
-    body = F.when(
-        any_consulted & F.ltrim("payload").startswith("{"),
-        P.parse_fields(F.col("payload"), *ENVELOPE_FIELDS),
-    )
+    # One pass over the text tells whether it is JSON and holds its fields.
+    staged = P.computed_once(staged.withColumn("body", P.framed_variant(F.col("payload"))))
     staged = P.computed_once(
-        staged.withColumns({"json_ok": json_ok, "body": body}).withColumn(
+        staged.withColumn("json_ok", P.is_framed(F.col("body"), F.col("payload"))).withColumn(
             "is_object", F.col("json_ok") & F.ltrim("payload").startswith("{")
         )
     )
+    # The body is only opened for fields that no header gives.
+    field = {f: F.try_variant_get(F.col("body"), f"$[0].{f}", "variant") for f in ENVELOPE_FIELDS}
     opened = {f: consulted[f] & F.col("is_object") for f in ENVELOPE_FIELDS}
     staged = P.computed_once(
         staged.select(
@@ -80,13 +79,11 @@ def parse_messages(messages: DataFrame, as_of: Column) -> DataFrame:
             "is_object",
             *[f"h_{f}" for f in ENVELOPE_FIELDS],
             *[
-                F.when(opened[f], P.kind(F.col(f"body.{f}"))).alias(f"k_{f}")
+                F.when(opened[f], P.kind(field[f])).alias(f"k_{f}")
                 for f in ENVELOPE_FIELDS
             ],
             *[
-                F.when(opened[f], F.try_variant_get(F.col(f"body.{f}"), "$", "string")).alias(
-                    f"b_{f}"
-                )
+                F.when(opened[f], F.try_variant_get(F.col("body"), f"$[0].{f}", "string")).alias(f"b_{f}")
                 for f in ENVELOPE_FIELDS
             ],
         )
