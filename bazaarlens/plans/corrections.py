@@ -11,7 +11,7 @@ from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import payload as P
@@ -44,10 +44,6 @@ def fold(
     return reduce(DataFrame.unionByName, changes)
 
 
-def _text(name: str) -> Column:
-    return P.as_string(P.parse_fields(F.col("payload"), name)[name])
-
-
 # --- ratings ---------------------------------------------------------------------------------
 
 RATING = "review string, bucket_hour timestamp, stars int, at timestamp, tie string"
@@ -55,9 +51,11 @@ RATING = "review string, bucket_hour timestamp, stars int, at timestamp, tie str
 
 def ratings(events: DataFrame) -> DataFrame:
     """The reviews of some events: one per order and SKU, else the event's own id."""
-    key = F.coalesce(F.concat_ws("|", _text("orderId"), _text("sku")), F.lit(""))
-    rating = P.as_int(P.parse_fields(F.col("payload"), "rating")["rating"])
-    return events.where("event_type = 'ReviewSubmitted'").select(
+    fields = P.parse_fields(F.col("payload"), "orderId", "sku", "rating")
+    reviews = P.computed_once(events.where("event_type = 'ReviewSubmitted'").select("event_id", "occurred_at", fields.alias("f")))
+    key = F.concat_ws("|", P.as_string(F.col("f.orderId")), P.as_string(F.col("f.sku")))
+    rating = P.as_int(F.col("f.rating"))
+    return reviews.select(
         F.when(key.contains("|"), key).otherwise(F.col("event_id")).alias("review"),
         F.date_trunc("hour", "occurred_at").alias("bucket_hour"),
         rating.alias("stars"),
@@ -102,13 +100,14 @@ COUPON_SIDE = "order_id string, side string, event_id string, bucket_hour timest
 def coupon_sides(events: DataFrame) -> DataFrame:
     """Redemptions and orders of some events, by order; each event id once."""
     fields = P.parse_fields(F.col("payload"), "orderId", "code", "total")
-    rows = events.where("event_type in ('CouponRedeemed', 'OrderCreated')").select(
-        P.as_string(fields["orderId"]).alias("order_id"),
+    sides = events.where("event_type in ('CouponRedeemed', 'OrderCreated')")
+    rows = P.computed_once(sides.select("event_id", "event_type", "occurred_at", fields.alias("f"))).select(
+        P.as_string(F.col("f.orderId")).alias("order_id"),
         F.when(F.col("event_type") == "CouponRedeemed", "coupon").otherwise("order").alias("side"),
         "event_id",
         F.date_trunc("hour", "occurred_at").alias("bucket_hour"),
-        P.as_string(fields["code"]).alias("code"),
-        P.as_money(fields["total"]).alias("total"),
+        P.as_string(F.col("f.code")).alias("code"),
+        P.as_money(F.col("f.total")).alias("total"),
     )
     return rows.where("order_id is not null").dropDuplicates(["event_id"])
 
