@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from bazaarlens.operators.envelope import describe_payload
-from bazaarlens.operators.versions import first_following, resolve
+from bazaarlens.functions import payload as P
+from bazaarlens.operators.versions import as_versions, first_following, latest_versions, resolve
 
 from helpers import sequential, uid
 
@@ -130,3 +131,31 @@ def test_first_following_against_brute_force(spark, inclusive):
         s = int(r.arrival_seq)
         later = [t for k, t in right if k == r.k and (t >= s if inclusive else t > s)]
         assert (int(r.following.arrival_seq) if r.following else None) == (min(later) if later else None)
+
+
+def test_latest_of_ids_in_any_form_with_chosen_columns(spark):
+    """Ids that are no uuid, that look like the bytes of one, or differ in case stay apart."""
+    plain = "00112233-4455-6677-8899-aabbccddeeff"
+    ids = [plain, plain.upper(), plain.replace("-", ""), plain + "\n", "no", "", "0123456789abcdef", None]
+    d = [
+        {"seq": 10 * n + k, "id": i, "type": f"T{k}", "payload": {"n": n}, "at": START, "landed": START + timedelta(minutes=k)}
+        for n, i in enumerate(ids)
+        for k in (1, 0, 2)
+    ]
+    rows = latest_versions(as_versions(arrivals(spark, d)), ("event_type", "payload"))
+    assert rows.columns == ["event_id", "event_type", "payload", "ingested_at", "created_by", "kept"]
+    got = {r.event_id: (r.event_type, json.loads(r.payload)["n"], r.ingested_at, r.created_by) for r in rows.collect()}
+    assert got == {i: ("T2", n, START, "test") for n, i in enumerate(ids)} and rows.count() == len(ids)
+
+
+def test_digests_tell_rows_apart(spark):
+    rows = [("a", None), (None, "a"), ("a", ""), ("", "a"), ("-", ""), ("", "-"), ("1:a", ""), ("1:", "a"), (None, None), ("a-", None)]
+    df = spark.createDataFrame(rows + rows, "x string, y string").select(P.digest(F.col("x"), F.col("y")).alias("d"))
+    got = [bytes(r.d) for r in df.collect()]
+    assert len(set(got)) == len(rows) and {len(d) for d in got} == {32} and got[: len(rows)] == got[len(rows) :]
+
+
+def test_shuffles_start_with_many_small_parts(spark):
+    """A task's share must not grow with the input: small parts are merged again."""
+    plan = spark.range(10).groupBy((F.col("id") % 3).alias("k")).count()
+    assert ", 1000)" in plan._jdf.queryExecution().executedPlan().toString() and plan.rdd.getNumPartitions() == 1
