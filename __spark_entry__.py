@@ -25,8 +25,10 @@ from bazaarlens.functions.buckets import buckets_of_hours, hours_between, instan
 from bazaarlens.operators import deadletters, ledger, scans
 from bazaarlens.operators.envelope import accepted, describe_payload, parse_messages, rejected
 from bazaarlens.operators.versions import (
+    ERASING,
     as_versions,
     latest_versions,
+    redactions,
     resolve,
     with_extracted_fields,
 )
@@ -313,7 +315,8 @@ def pii_redaction_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pii_redaction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    return comparable(resolve(delivery_log(spark, sf_dir)).redactions.drop("redaction_id"))
+    log = written(deliveries(spark, sf_dir).select(*ERASING), "delivery-log")
+    return comparable(redactions(log).drop("redaction_id"))
 
 
 def pii_pending_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,8 @@ CONTENT = (
     "arrival_chunk",
 )
 LAST = (*CONTENT, "written_at", "written_by")
+#: What of a delivery tells which rows an erasure redacts.
+ERASING = ("event_id", "event_type", "payload", "contains_pii", "arrival_seq", "arrival_chunk", "ingested_at")
 
 
 @dataclass(frozen=True)
@@ -54,12 +56,25 @@ def resolve(
     versions = as_versions(arrivals)
     if prior is not None:
         versions = versions.unionByName(prior_as_versions(prior))
-    latest = latest_versions(versions)
+    erasures, hits = _swept(arrivals, versions, keep)
+    return Resolved(_apply(latest_versions(versions), hits), redaction_records(erasures, hits))
+
+
+def _swept(arrivals: DataFrame, versions: DataFrame, keep: Keep) -> tuple[DataFrame, DataFrame | None]:
+    """The erasures, and what they redact; none without an erasure."""
     erasures = keep(erasure_deliveries(arrivals), "erasures")
     if erasures.isEmpty():
-        return Resolved(_apply(latest, None), redaction_records(erasures, None))
-    hits = keep(redaction_hits(versions, erasures, keep), "hits")
-    return Resolved(_apply(latest, hits), redaction_records(erasures, hits))
+        return erasures, None
+    return erasures, keep(redaction_hits(versions, erasures, keep), "hits")
+
+
+def redactions(arrivals: DataFrame, keep: Keep = written) -> DataFrame:
+    """The records that ``resolve`` of these deliveries, without a prior table, has.
+
+    Only the columns ``ERASING`` are read, so a log for this needs no others.
+    """
+    versions = arrivals.select(*ERASING, F.lit(None).cast("timestamp").alias("pii_redacted_at"))
+    return redaction_records(*_swept(arrivals, versions, keep))
 
 
 def as_versions(arrivals: DataFrame) -> DataFrame:
@@ -139,11 +154,13 @@ def erasure_deliveries(arrivals: DataFrame) -> DataFrame:
 def redaction_hits(versions: DataFrame, erasures: DataFrame, keep: Keep) -> DataFrame:
     """Per event id the earliest erasure that found a personal, pending version of it current."""
     already = versions.where("pii_redacted_at is not null").select("event_id").distinct()
-    personal = (
+    named = P.computed_once(
         versions.where("contains_pii and pii_redacted_at is null")
         .withColumn("user_id", named_user(F.col("payload")))
         .select("event_id", "user_id", "payload", "arrival_seq", "arrival_chunk")
-        .join(erasures.select("user_id").distinct(), "user_id", "left_semi")
+    )
+    personal = (
+        named.join(erasures.select("user_id").distinct(), "user_id", "left_semi")
         .join(already, "event_id", "left_anti")
     )
     personal = keep(personal, "personal")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.operators.envelope import describe_payload
 from bazaarlens.functions import payload as P
-from bazaarlens.operators.versions import as_versions, first_following, latest_versions, resolve
+from bazaarlens.operators.versions import ERASING, as_versions, first_following, latest_versions, redactions, resolve
 
 from helpers import sequential, uid
 
@@ -73,6 +73,21 @@ def test_resolve_equals_one_at_a_time(spark, seed):
     assert got == records
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_records_alone_need_few_columns(spark, seed):
+    """A log of these columns gives the same records."""
+    deliveries = random_deliveries(seed)
+    log = arrivals(spark, deliveries)
+    got = redactions(log.select(*ERASING)).orderBy("redaction_id").collect()
+    assert got == resolve(log).redactions.orderBy("redaction_id").collect()
+    assert sorted((r.user_id, r.triggering_event_id, r.rows_redacted) for r in got) == sequential(deliveries)[1]
+
+
+def test_records_alone_without_an_erasure(spark):
+    d = [{"seq": 0, "id": uid(1), "type": "OrderConfirmed", "payload": {"userId": "x"}, "at": START, "landed": START}]
+    assert redactions(arrivals(spark, d).select(*ERASING)).isEmpty()
+
+
 @pytest.mark.parametrize("seed", [11, 12])
 def test_batches_equal_bulk(spark, seed):
     deliveries = random_deliveries(seed)
