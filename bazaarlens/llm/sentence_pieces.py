@@ -7,7 +7,8 @@ behind all of them meet on one boundary, the ids before it are final and the win
 
 Where no piece of the vocabulary can span a position (a blank that follows something else), all
 paths meet for certain, so what lies between two such positions is a search of its own, and a
-worker remembers a bounded number of them.
+worker remembers a bounded number of them. The short ones among those it has not met are searched
+side by side, one place of all of them at a time.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -24,16 +25,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import Remembered, column, slices
+from bazaarlens.llm.common import column, slices
 
 BLANK = "▁"
-#: Stretches that a worker remembers, and the longest of them.
-REMEMBERED = 300_000
-_LONG = 64
+#: Stretches that a worker remembers, and their characters; when either is passed it begins anew.
+REMEMBERED, CHARACTERS = 600_000, 8_000_000
+#: Longer stretches are searched one by one, so many characters of shorter ones at once.
+_LONG, _AT_ONCE = 64, 1 << 18
+#: Stretches looked up before the next ones are.
+_BLOCK = 1 << 18
 #: What an unknown character costs below the lowest score.
 UNKNOWN_COST = 10.0
 
 
+class _Numbered(dict):
+    """Keys by the order in which they were first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 class PieceModel:
     """Pieces with scores, byte pieces for characters without one, and the marks of a text's start.
 
@@ -46,7 +58,8 @@ class PieceModel:
         self.texts: dict[int, bytes] = {i: p.encode() for p, i, _ in pieces}
         if byte_ids:
             self.texts |= {i: bytes([b]) for b, i in enumerate(byte_ids)}
-        self.table = [self.texts.get(i, b"") for i in range(max(self.texts, default=-1) + 1)]
+        # The bytes of each id; the last entry is of those that have none.
+        self.table = pa.array([self.texts.get(i, b"") for i in range(max(self.texts, default=-1) + 2)], pa.large_binary())
         self.longest = max((len(p) for p, _, _ in pieces), default=1)
         self.worst = min((s for _, _, s in pieces), default=0.0) - UNKNOWN_COST
         # A trie of nodes (children by character, id or None, score).
@@ -56,9 +69,29 @@ class PieceModel:
             for c in piece:
                 node = node[0].setdefault(c, [{}, None, 0.0])
             node[1:] = i, score
+        self._flatten()
         spans = any(BLANK in p.lstrip(BLANK) for p, _, _ in pieces)
         self.stretches = re.compile(".+" if spans else f"{BLANK}*[^{BLANK}]+|{BLANK}+", re.S)
-        self.known = Remembered(lambda s: [i for part in self.search(s) for i in part], REMEMBERED, _LONG)
+        self._forget()
+
+    def _flatten(self) -> None:
+        """The trie as arrays: children by node and character, and the piece that ends at a node."""
+        nodes, keys = [self.trie], []
+        for n, node in enumerate(nodes):  # goes on over those it adds
+            for c, child in node[0].items():
+                keys.append(n << 21 | ord(c))
+                nodes.append(child)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys = np.append(np.array(keys, np.int64)[order], np.int64(1) << 62)  # the last one fits nothing
+        self.children = np.append(order + 1, 0)
+        self.is_piece = np.array([i is not None for _, i, _ in nodes])
+        self.ids = np.array([0 if i is None else i for _, i, _ in nodes], np.int64)
+        self.gains = np.array([gain for _, _, gain in nodes])
+
+    def _forget(self) -> None:
+        self.known, self.characters = _Numbered(), 0
+        # Of each stretch by its number: where its ids begin in known_ids, and how many it has.
+        self.known_at, self.known_n, self.known_ids = (np.zeros(0, np.int64) for _ in range(3))
 
     def _spelled(self, c: str) -> list[int]:
         return [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
@@ -114,23 +147,132 @@ class PieceModel:
                 start += [0] * room
                 last += [0] * room
 
+    def search_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of short texts, one text after another, and how many each has; as by ``search``."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        row = np.repeat(np.arange(len(texts)), sizes)
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(len(chars)) - first[row]
+        room = sizes[row] - place
+        # All pieces from all places: what is left goes one character further at a time.
+        at, node, size = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0
+        single, edges = np.zeros(len(chars), bool), []
+        while len(at):
+            key = node << 21 | chars[at + size]
+            found = np.searchsorted(self.keys, key)
+            fits = self.keys[found] == key
+            at, node, size = at[fits], self.children[found[fits]], size + 1
+            ends = self.is_piece[node]
+            if size == 1:
+                single[at[ends]] = True
+            edges.append((at[ends], np.full(ends.sum(), size), self.ids[node[ends]], self.gains[node[ends]]))
+            more = room[at] > size
+            at, node = at[more], node[more]
+        alone = np.flatnonzero(~single)
+        edges.append((alone, np.ones(len(alone), np.int64), np.full(len(alone), -1), np.full(len(alone), self.worst)))
+        at, size, ids, gain = (np.concatenate(x) for x in zip(*edges))
+        order = np.argsort(place[at], kind="stable")
+        at, size, ids, gain = at[order], size[order], ids[order], gain[order]
+        # Each text has an end more than characters. Edges from one place of a text have different ends.
+        start = at + row[at]
+        end, begins = start + size, first + np.arange(len(texts))
+        score, by = np.full(len(chars) + len(texts), -np.inf), np.zeros(len(chars) + len(texts), np.int64)
+        score[begins] = 0.0
+        stops = np.searchsorted(place[at], np.arange(sizes.max(initial=0) + 1))
+        for low, high in zip(stops[:-1].tolist(), stops[1:].tolist()):
+            total, to = score[start[low:high]] + gain[low:high], end[low:high]
+            better = total > score[to]
+            score[to[better]], by[to[better]] = total[better], low + np.flatnonzero(better)
+        # Back from the ends, one piece of all texts at a time.
+        rows, to, steps = np.arange(len(texts)), begins + sizes, []
+        while len(rows):
+            edge = by[to]
+            steps.append((rows, edge))
+            to = start[edge]
+            on = to > begins[rows]
+            rows, to = rows[on], to[on]
+        counts = np.zeros(len(texts), np.int64)
+        for n, (rows, _) in enumerate(steps, 1):
+            counts[rows] = n
+        ends = np.cumsum(counts)
+        path = np.zeros(counts.sum(), np.int64)
+        for n, (rows, edge) in enumerate(steps, 1):
+            path[ends[rows] - n] = edge
+        out = ids[path]
+        unknown = np.flatnonzero(out == -1)
+        if len(unknown):
+            spelled = [self._spelled(chr(c)) for c in chars[at[path[unknown]]].tolist()]
+            times = np.ones(len(out), np.int64)
+            times[unknown] = [len(s) for s in spelled]
+            out, after = np.repeat(out, times), np.cumsum(times)
+            for n, s in zip(after[unknown].tolist(), spelled):
+                out[n - len(s) : n] = s
+            counts = np.add.reduceat(times, ends - counts)
+        return out, counts
+
+    def _learn(self, new: list[str]) -> None:
+        """Remembers the ids of stretches, which have the next numbers."""
+        short = [s for s in new if len(s) <= _LONG]
+        ids, counts, low, size = [], [], 0, 0
+        for high, s in enumerate(short, 1):
+            size += len(s)
+            if size >= _AT_ONCE or high == len(short):
+                own, n = self.search_many(short[low:high])
+                ids.append(own)
+                counts.append(n)
+                low, size = high, 0
+        is_long = np.array([len(s) > _LONG for s in new])
+        for s in new if is_long.any() else ():
+            if len(s) > _LONG:
+                own = np.fromiter(chain.from_iterable(self.search(s)), np.int64)
+                ids.append(own)
+                counts.append(np.array([len(own)]))
+        n = np.concatenate(counts)
+        places = np.concatenate([np.flatnonzero(~is_long), np.flatnonzero(is_long)])
+        at, of = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        at[places], of[places] = len(self.known_ids) + np.cumsum(n) - n, n
+        self.known_at, self.known_n = np.append(self.known_at, at), np.append(self.known_n, of)
+        self.known_ids = np.concatenate([self.known_ids, *ids])
+        self.characters += sum(map(len, new))
+
+    def encode_many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one text after another, and where each begins and the last ends."""
+        mark = BLANK if self.add_prefix else ""
+        parts = [self.stretches.findall(mark + t.replace(" ", BLANK)) if t else [] for t in texts]
+        every, ids, counts = list(chain.from_iterable(parts)), [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+        for low in range(0, len(every), _BLOCK):
+            if len(self.known) > REMEMBERED or self.characters > CHARACTERS:
+                self._forget()
+            block, before = every[low : low + _BLOCK], len(self.known)
+            numbers = np.fromiter(map(self.known.__getitem__, block), np.int64, len(block))
+            if len(self.known) > before:
+                self._learn(list(islice(reversed(self.known), len(self.known) - before))[::-1])
+            at, n = self.known_at[numbers], self.known_n[numbers]
+            ids.append(self.known_ids[np.arange(n.sum()) + np.repeat(at - (np.cumsum(n) - n), n)])
+            counts.append(n)
+        ends = np.cumsum(np.concatenate(counts))
+        return np.concatenate(ids), ends[np.cumsum([0, *map(len, parts)])]
+
+    def decode_many(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of ids, one after another. Other ids (controls, unknown) have no text; broken
+        bytes become U+FFFD."""
+        none = len(self.table) - 1
+        pieces = self.table.take(pa.array(np.where((ids >= 0) & (ids < none), ids, none)))
+        _, places, joined = pieces.buffers()
+        raw = memoryview(joined or b"")
+        ends = np.frombuffer(places, np.int64)[pieces.offset :][offsets].tolist() if len(ids) else [0] * len(offsets)
+        texts = [str(raw[a:b], "utf-8", "replace").replace(BLANK, " ") for a, b in zip(ends, ends[1:])]
+        return [t[1:] if t.startswith(" ") else t for t in texts] if self.add_prefix else texts
+
     def encode(self, text: str | None) -> list[int]:
         """The ids of a text; none for a null or empty one."""
-        if not text:
-            return []
-        text = (BLANK if self.add_prefix else "") + text.replace(" ", BLANK)
-        return list(chain.from_iterable(map(self.known.__getitem__, self.stretches.findall(text))))
+        return self.encode_many([text])[0].tolist()
 
     def decode(self, ids) -> str:
-        """The text of ids. Other ids (controls, unknown) have no text; broken bytes become U+FFFD."""
-        try:
-            raw = b"".join(map(self.table.__getitem__, ids))  # a negative id would count from the end
-        except IndexError:
-            raw = None
-        if raw is None or (len(ids) and min(ids) < 0):
-            raw = b"".join(self.texts.get(i, b"") for i in ids)
-        text = raw.decode("utf-8", "replace").replace(BLANK, " ")
-        return text[1:] if self.add_prefix and text.startswith(" ") else text
+        """The text of ids."""
+        ids = np.array(ids, np.int64)
+        return self.decode_many(ids, np.array([0, len(ids)]))[0]
 
 
 @lru_cache(2)
@@ -151,8 +293,8 @@ def encode(text: Column, model: str) -> Column:
 
     @F.pandas_udf("array<int>")
     def of(texts: pd.Series) -> pd.Series:
-        own = load(model)
-        return pd.Series([np.array(own.encode(t), np.int32) for t in texts], dtype=object)
+        ids, ends = load(model).encode_many(texts.tolist())
+        return pd.Series(np.split(ids.astype(np.int32), ends[1:-1]), index=texts.index, dtype=object)
 
     return of(text)
 
@@ -178,13 +320,13 @@ def round_trip(docs: DataFrame, model: str, id_column: str = "doc_id", text_colu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(model)
         for b in slices(batches, "text", 4 << 20):
-            rows = []
-            for text in b.column("text").to_pylist():
-                ids = own.encode(text)
-                exact = own.decode(ids) == (text or "").replace(BLANK, " ")
-                rows.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), exact))
-            n, crc, exact = (pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_())))
-            yield pa.RecordBatch.from_arrays([b.column("id"), n, crc, exact], ["id", "n_ids", "ids_crc32", "exact"])
+            texts = b.column("text").to_pylist()
+            ids, ends = own.encode_many(texts)
+            exact = [d == (t or "").replace(BLANK, " ") for d, t in zip(own.decode_many(ids, ends), texts)]
+            raw = memoryview(ids.astype("<u4").tobytes())
+            crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(ends.tolist(), ends[1:].tolist())]
+            made = [pa.array(np.diff(ends)), pa.array(crc, pa.int64()), pa.array(exact, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *made], ["id", "n_ids", "ids_crc32", "exact"])
 
     texts = docs.select(column(id_column).alias("id"), column(text_column).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()

@@ -119,3 +119,33 @@ def test_round_trip(spark):
     for i, t in enumerate([*TEXTS, None]):
         assert found[i].exact and found[i].n_ids == len(pieces.encode(t))
     assert S.round_trip(docs.limit(0), path, id_column="ids").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_texts_side_by_side_against_whole_text(seed, monkeypatch):
+    draw = random.Random(seed)
+    marks = "abc" + S.BLANK * (seed % 2)
+    texts = {"".join(draw.choice(marks) for _ in range(draw.randint(1, 5))) for _ in range(25)}
+    pieces = [(p, i + 1, -draw.randint(1, 9) * 1.0) for i, p in enumerate(sorted(texts))]
+    model = S.PieceModel(pieces, None, 0, add_prefix=False)
+    table = {p: (i, s) for p, i, s in pieces}
+    monkeypatch.setattr(S, "REMEMBERED", 20)
+    monkeypatch.setattr(S, "_BLOCK", 7)
+    monkeypatch.setattr(S, "_AT_ONCE", 5)
+    given = ["".join(draw.choice("abcd ") for _ in range(draw.choice([1, 5, 90, 400]))) for _ in range(30)]
+    given[3], given[8] = None, ""
+    ids, ends = model.encode_many(given)
+    for text, start, end in zip(given, ends.tolist(), ends[1:].tolist()):
+        assert ids[start:end].tolist() == best((text or "").replace(" ", S.BLANK), table, model.worst)
+    assert len(model.known) <= 20 + 7
+
+
+def test_short_stretches_need_no_search_of_their_own(monkeypatch):
+    model = S.load(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [t for t in TEXTS if max(map(len, t.split(" "))) < 64]
+    wanted = [[i for part in model.search(S.BLANK + t.replace(" ", S.BLANK)) for i in part] if t else [] for t in texts]
+    monkeypatch.setattr(S.PieceModel, "search", lambda self, text: pytest.fail("one by one"))
+    model._forget()
+    ids, ends = model.encode_many(texts)
+    assert [ids[i:j].tolist() for i, j in zip(ends, ends[1:])] == wanted
+    assert model.decode_many(ids, ends) == [t.replace(S.BLANK, " ") for t in texts]
