@@ -45,19 +45,20 @@ class Resolved:
 
 
 def resolve(
-    arrivals: DataFrame, prior: DataFrame | None = None, keep: Keep = written
+    arrivals: DataFrame, prior: DataFrame | None = None, keep: Keep = written, dealt: bool = False
 ) -> Resolved:
     """Apply deliveries to the prior current rows (all rows they can touch, or none).
 
     Equal to upserting one delivery at a time in arrival order, with each erasure event
     blanking the pending personal rows of its user at its own place in that order.
-    ``keep`` stores the small intermediates that are read more than once.
+    ``keep`` stores the small intermediates that are read more than once. ``dealt``: arrivals (and
+    prior rows) are tables dealt by event id.
     """
     versions = as_versions(arrivals)
     if prior is not None:
         versions = versions.unionByName(prior_as_versions(prior))
     erasures, hits = _swept(arrivals, versions, keep)
-    return Resolved(_apply(latest_versions(versions), hits), redaction_records(erasures, hits))
+    return Resolved(_apply(latest_versions(versions, dealt=dealt), hits), redaction_records(erasures, hits))
 
 
 def _swept(arrivals: DataFrame, versions: DataFrame, keep: Keep) -> tuple[DataFrame, DataFrame | None]:
@@ -101,10 +102,11 @@ def prior_as_versions(prior: DataFrame) -> DataFrame:
     )
 
 
-def latest_versions(versions: DataFrame, columns: Sequence[str] = LAST) -> DataFrame:
+def latest_versions(versions: DataFrame, columns: Sequence[str] = LAST, dealt: bool = False) -> DataFrame:
     """Per event id the last arrival's content, the first arrival's landing, any redaction kept.
 
-    ``columns`` are those of the content that go through the shuffle.
+    ``columns`` are those of the content that are returned. Versions ``dealt`` by event id need no
+    shuffle; others go through one.
     """
     arrived = F.col("arrival_seq").isNotNull()
     last = F.max(F.when(arrived, F.struct("arrival_seq", *[c for c in columns if c != "arrival_seq"])))
@@ -117,16 +119,20 @@ def latest_versions(versions: DataFrame, columns: Sequence[str] = LAST) -> DataF
     short = P.is_hyphenated(F.col("event_id"))
     packed = F.when(short, F.unhex(F.translate("event_id", "-", ""))).otherwise(F.col("event_id").cast("binary"))
     unpacked = F.when(F.col("short"), P.hyphenate(F.lower(F.hex("packed")))).otherwise(F.col("packed").cast("string"))
+    key = ["event_id"] if dealt else [packed.alias("packed"), short.alias("short")]
     return (
-        versions.groupBy(packed.alias("packed"), short.alias("short"))
+        versions.groupBy(*key)
         .agg(
             last.alias("last"),
             F.min("landed_at").alias("ingested_at"),
             F.min(F.when(arrived, F.struct("arrival_seq", "landed_by")))["landed_by"].alias("created_by"),
             kept.alias("kept"),
         )
-        .select(unpacked.alias("event_id"), *[F.col(f"last.{c}") for c in columns], "ingested_at", "created_by", "kept")
-    )
+        .select(
+            "event_id" if dealt else unpacked.alias("event_id"),
+            *[F.col(f"last.{c}") for c in columns], "ingested_at", "created_by", "kept",
+        )
+    )
 
 
 def named_user(payload: Column) -> Column:

@@ -229,6 +229,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def splits(spark: SparkSession, sf_dir: str) -> int:
+    """File splits of the tables that deliveries come from: a measure of their number."""
+    return sum(read(spark, sf_dir, t).rdd.getNumPartitions() for t in (*[t.table for t in TABLES], "lineitem"))
+
+
 def platform_events(
     spark: SparkSession, sf_dir: str, types: Iterable[str] | None = None
 ) -> DataFrame:
@@ -466,8 +471,9 @@ def _mapped_tables(spark: SparkSession, sf_dir: str, wanted: set[str]) -> list[D
         if events:
             rows = read(spark, sf_dir, t.table)
             if len(events) > 1:
-                # One row becomes many events: dealt out, for a file may have a single row group.
-                rows = rows.repartition(t.number)
+                # One row becomes many events: dealt out, for a file may have a single row group, and
+                # to so many parts that each makes about as many events as a split has rows.
+                rows = rows.repartition((len(events) + 1) // 2 * rows.rdd.getNumPartitions(), t.number)
             branches.append(
                 rows.selectExpr(
                     f"cast({t.number} as bigint) as num",
