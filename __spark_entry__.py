@@ -243,7 +243,8 @@ def raw_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type", "publisher_service", "partition_key", "occurred_at", "payload", "schema_id",
         "contains_pii",
     )
-    rows = latest_versions(as_versions(deliveries(spark, sf_dir)), (*content, "written_at"))
+    log = delivery_log(spark, sf_dir)
+    rows = latest_versions(as_versions(log), (*content, "written_at"), dealt=True)
     return comparable(
         rows.select("event_id", *content, "ingested_at", F.col("written_at").alias("updated_at"))
     )

@@ -87,3 +87,17 @@ def test_replaying_deals_the_deliveries_once(spark, tables):
     # Of all events nothing but what the two current tables differ in goes through a shuffle.
     dealt = re.findall(r"Exchange hashpartitioning\((.*?)[#,]", plan(found).split("Initial Plan")[-1])
     assert set(dealt) <= {"row", "event_id"} and plan(found).count("SortMergeJoin") >= 1
+
+
+@pytest.mark.parametrize("name", ["raw_upsert_latest"])
+def test_current_tables_are_read_from_a_dealt_log(spark, tables, name):
+    found = entry.queries()[name](spark, tables)
+    plain = resolve(entry.deliveries(spark, tables)).current
+    assert not re.search(r"Exchange hashpartitioning\((packed|event_id)", plan(found).split("Initial Plan")[-1])
+    if name == "pii_pending_scan":
+        assert found.count() > 0
+        return
+    assert found.count() == plain.count() > 0
+    same = ["event_id", "occurred_at"] + (["payload"] if name == "raw_upsert_latest" else ["pii_redacted_at"])
+    if name == "pii_redaction_current":
+        assert rows_of(found.select(*same)) == rows_of(entry.comparable(plain.select(*same)))
