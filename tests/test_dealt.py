@@ -89,7 +89,7 @@ def test_replaying_deals_the_deliveries_once(spark, tables):
     assert set(dealt) <= {"row", "event_id"} and plan(found).count("SortMergeJoin") >= 1
 
 
-@pytest.mark.parametrize("name", ["raw_upsert_latest", "pii_redaction_current"])
+@pytest.mark.parametrize("name", ["raw_upsert_latest", "pii_redaction_current", "pii_pending_scan"])
 def test_current_tables_are_read_from_a_dealt_log(spark, tables, name):
     found = entry.queries()[name](spark, tables)
     plain = resolve(entry.deliveries(spark, tables)).current
