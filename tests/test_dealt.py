@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from bazaarlens import session
 from bazaarlens.operators.versions import as_versions, latest_versions, resolve
+from bazaarlens.plans import ingest
 from bazaarlens.session import written_by
+from bazaarlens.sources.store import EventStore
+
+from helpers import header_message, messages, uid
 
 T = datetime(1997, 3, 4)
 DAY = timedelta(days=1)
@@ -101,3 +105,22 @@ def test_current_tables_are_read_from_a_dealt_log(spark, tables, name):
     same = ["event_id", "occurred_at"] + (["payload"] if name == "raw_upsert_latest" else ["pii_redacted_at"])
     if name == "pii_redaction_current":
         assert rows_of(found.select(*same)) == rows_of(entry.comparable(plain.select(*same)))
+
+
+def test_a_batch_is_resolved_without_a_shuffle_and_kept_in_no_cache(spark, root, monkeypatch):
+    seen, real = [], ingest.resolve
+
+    def spy(arrivals, prior=None, **options):
+        kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+        latest = latest_versions(as_versions(arrivals), dealt=options["dealt"])
+        seen.append((prior is None, options["dealt"], kept, "Exchange" in plan(latest)))
+        return real(arrivals, prior, **options)
+
+    monkeypatch.setattr(ingest, "resolve", spy)
+    store, before = EventStore(spark, f"{root}/store"), spark.sparkContext._jsc.getPersistentRDDs().size()
+    for batch in range(2):
+        sent = [header_message(n, "OrderCreated", {"orderId": f"o{n}", "total": batch}) for n in range(1, 3 + batch)]
+        ingest.ingest_batch(store, messages(spark, sent), source="s", batch_id=batch, as_of=T + DAY * batch)
+    assert seen == [(True, True, before, False), (False, False, before, True)]
+    assert {r.event_id: r.total for r in store.events().collect()} == {uid(n): 1 for n in (1, 2, 3)}
+    assert store.event_log().count() == 5
