@@ -60,7 +60,8 @@ def _by(lines: DataFrame, key: Column, sku: Column, category: Column) -> DataFra
     hours = orders.groupBy("key", F.date_trunc("hour", "occurred_at").alias("hour_start")).agg(
         F.sum("revenue").alias("revenue"), F.count("*").alias("orders")
     )
-    rows = in_every_bucket(hours, "hour_start").groupBy("granularity", "bucket_start", "key")
+    # A key has one row an hour at most, so its hours meet before they are spread over four buckets.
+    rows = in_every_bucket(hours.repartition("key"), "hour_start").groupBy("granularity", "bucket_start", "key")
     rows = rows.agg(F.sum("revenue").alias("revenue_amount"), F.sum("orders").alias("order_count"))
     return rows.select(
         document_id(F.col("granularity"), F.col("bucket_start"), F.col("key")).alias("id"),

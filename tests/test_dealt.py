@@ -124,3 +124,8 @@ def test_a_batch_is_resolved_without_a_shuffle_and_kept_in_no_cache(spark, root,
     assert seen == [(True, True, before, False), (False, False, before, True)]
     assert {r.event_id: r.total for r in store.events().collect()} == {uid(n): 1 for n in (1, 2, 3)}
     assert store.event_log().count() == 5
+
+
+def test_hours_are_gathered_by_key_before_they_are_spread(spark, tables):
+    found = plan(entry.queries()["revenue_by_sku"](spark, tables))
+    assert "Exchange hashpartitioning(key" in found and "Exchange hashpartitioning(granularity" not in found
