@@ -73,10 +73,11 @@ def apply_ratings(state: DataFrame, batch: DataFrame) -> Step:
     """
     latest = F.max_by(F.struct("bucket_hour", "stars", "at", "tie"), F.struct("at", "tie")).alias("new")
     new = ratings(batch).groupBy("review").agg(latest)
-    old = state.join(new.select("review"), "review", "left_semi").select("review", F.struct("bucket_hour", "stars", "at", "tie").alias("old"))
+    old = state.select("review", F.struct("bucket_hour", "stars", "at", "tie").alias("old"))
     both = new.join(old, "review", "left")
     later = F.col("old").isNull() | (F.struct("new.at", "new.tie") > F.struct("old.at", "old.tie"))
-    won = both.where(later)
+    # The state and the changes come from it.
+    won = written(both.where(later), "won")
     signed = F.array(
         F.struct(F.col("new.bucket_hour").alias("bucket_hour"), F.col("new.stars").alias("stars"), F.lit(1).alias("n")),
         F.when(F.col("old").isNotNull(), F.struct(F.col("old.bucket_hour").alias("bucket_hour"), F.col("old.stars").alias("stars"), F.lit(-1).alias("n"))),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from bazaarlens import session
 from bazaarlens.operators.versions import as_versions, latest_versions, resolve
-from bazaarlens.plans import ingest
+from bazaarlens.plans import corrections, ingest
 from bazaarlens.session import written_by
 from bazaarlens.sources.store import EventStore
 
@@ -129,3 +129,10 @@ def test_a_batch_is_resolved_without_a_shuffle_and_kept_in_no_cache(spark, root,
 def test_hours_are_gathered_by_key_before_they_are_spread(spark, tables):
     found = plan(entry.queries()["revenue_by_sku"](spark, tables))
     assert "Exchange hashpartitioning(key" in found and "Exchange hashpartitioning(granularity" not in found
+
+
+def test_state_and_changes_of_ratings_come_from_one_table(spark, tables):
+    reviews = entry.S.review_edits(spark, tables)
+    step = corrections.apply_ratings(spark.createDataFrame([], corrections.RATING), reviews)
+    assert step.state.count() == reviews.select("payload").distinct().selectExpr("get_json_object(payload, '$.orderId')", "get_json_object(payload, '$.sku')").distinct().count()
+    assert not re.search("Join|parse_json|from_json", plan(step.state) + plan(step.changes))
